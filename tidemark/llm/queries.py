@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, tokens
+from pyspark.sql import functions as F
+
+from . import ann, langid, mainhtml, mixing, quality, simhash, tokens, urlfilter
 from .common import table
 
 
@@ -10,16 +12,38 @@ def op1_language_id(spark, sf_dir):
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    shards = F.transform("draws", lambda x: x["shard"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
+
+
+def op3_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
+def op4_url_filter(spark, sf_dir):
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), size=3, max_bits=2)
 
 
+def op6_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark, sf_dir):
+    return mainhtml.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op5_simhash, op8_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_nearest, op4_url_filter, op5_simhash, op6_quality, op8_token_counts, op10_main_text)}
 
 
 def oracle_sql():

@@ -178,7 +178,7 @@ def _compare(bits: int, more_bits: int):
 def _blocks(bits: int, more_bits: int):
     """Over one pair of blocks of a hot group: the links within it (one block) or across (two)."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         out = _Found(bits, more_bits)
         i, j = key[2].as_py(), key[3].as_py()
         own = np.asarray(rows["block"])

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, materialize
+from .common import SPACE, WORD, forget, materialize
 
 WEIGHTS = (3, 1, 2)
 EPOCHS = 1.5
@@ -115,7 +115,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most
     repeats counted), and draws, an array of (shard, place, pass, words) of the copies in the mix.
 
     Repeated rows are separate documents of equal hash and share a block. With no words at all every
-    target and draw is zero. `keep` names further columns to carry."""
+    target and draw is zero. With `keep`, which names further columns to carry, the figures are in
+    one struct, _mix, so that no name can clash."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = materialize(docs.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), size.alias("_size"), *[F.col(c).alias(f"_keep_{c}") for c in keep]), "sizes")
@@ -160,15 +161,26 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most
     words = F.when(F.col("_size") > 0, F.concat(F.array_repeat(F.col("_size"), F.col("passes")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.expr("array()").cast("array<bigint>")))).otherwise(F.expr("array()").cast("array<bigint>"))
     df = df.withColumn("_words", words)
     draws = F.transform("_words", lambda w, i: F.struct(F.get("shards", i).alias("shard"), F.xxhash64("_key", i).alias("place"), i.alias("pass"), w.alias("words")))
-    return df.select(
-        F.col("_id").alias(id_col),
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("_size") * F.col("passes") + F.col("_part")).cast("long").alias("taken"),
-        draws.alias("draws"),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
-    )
+    figures = [F.col("_size").alias("size"), F.col("source_size"), F.col("target"), (F.col("_size") * F.col("passes") + F.col("_part")).cast("long").alias("taken"), draws.alias("draws")]
+    if not keep:
+        return df.select(F.col("_id").alias(id_col), *figures)
+    return df.select(F.col("_id").alias(id_col), F.struct(*figures).alias("_mix"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each copy that is taken, dealt to shards and
+    shuffled within them by place. A last copy that is taken in part holds its first words, joined by
+    single spaces; its n_chars, if there is such a column, is counted anew."""
+    rest = tuple(c for c in docs.columns if c != id_col)
+    mixed = mix_documents(docs, id_col=id_col, keep=rest, **how)
+    mixed = mixed.select(id_col, *rest, F.col("_mix.size").alias("_size"), F.explode("_mix.draws").alias("_d"))
+    whole = F.col("_d.words") >= F.col("_size")
+    cut = F.array_join(F.slice(F.array_remove(F.split("text", SPACE), ""), 1, F.greatest(F.col("_d.words"), F.lit(1)).cast("int")), " ")
+    mixed = mixed.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartition(parts, F.col("_d.shard")).sortWithinPartitions(F.col("_d.shard"), F.col("_d.place")).select(*docs.columns)
 
 
 def _deal(units: DataFrame, split: DataFrame, seed: int) -> DataFrame:

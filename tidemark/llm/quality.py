@@ -169,4 +169,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     work = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     ordered = {r.name: k for k, r in enumerate(rules)}
     rules = sorted(default_rules("_text"), key=lambda r: ordered[r.name])
-    return cascade(work, rules, kept="_kept").filter("_kept").select(*docs.columns)
+    judged = cascade(work, rules, kept="_kept")
+    # the optimizer would move the filter below the projections and write out their steps inside each
+    # other's lambdas, evaluating an array once for each element; a non-deterministic column stops it
+    return judged.withColumn("_stop", F.monotonically_increasing_id()).filter("_kept AND _stop >= 0").select(*docs.columns)

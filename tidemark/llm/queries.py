@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, mainhtml, mixing, quality, simhash, tokens, urlfilter
+from . import ann, langid, mainhtml, mixing, packing, quality, simhash, suffixdedup, tokens, urlfilter
 from .common import table
 
 
@@ -34,16 +34,27 @@ def op6_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark, sf_dir):
     return mainhtml.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+_QUERIES = (op1_language_id, op2_mixing, op3_nearest, op4_url_filter, op5_simhash, op6_quality, op7_suffix_dedup, op8_token_counts, op9_packing, op10_main_text)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_nearest, op4_url_filter, op5_simhash, op6_quality, op8_token_counts, op10_main_text)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():

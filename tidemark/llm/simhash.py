@@ -249,4 +249,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = 5, shingle: int = 5, shingl
     # which ids go: all but the least of their component (null ids only with a component that has one)
     drop = out.filter("component_id IS NOT NULL AND _id <> component_id").select(F.col("_id")).distinct()
     kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
-    return kept
+    again = out.groupBy("_id").count().filter("count > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    # rows that share an id: of those with the same text one stays
+    same = kept[id_col] == again["_again"]
+    once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import forget, materialize
 
@@ -495,27 +496,38 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     return spans, total
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", give_text: bool = False) -> DataFrame:
-    """For each row: id, n_bytes, n_removed, n_spans, kept_sha256, and with give_text the kept bytes
-    as text (bytes of a character that was cut in two are dropped).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null text counts as empty. A row with a null id is smaller than none, so it neither loses bytes
-    nor makes others lose any. Rows that share an id lose nothing to each other."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    nor makes others lose any. Rows that share an id lose nothing to each other. An id must be an
+    integer; other columns play no part."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(id_col).alias("_id")).alias("rest"))
+    cut = _cut_rows(rows, give_text=False)
+    return cut.select(F.col("rest._id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The same rows and columns with the removed bytes gone from the text, and n_chars, if there is
+    such a column, counted anew. Bytes of a character that was cut in two go as well; null stays null."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("_null"), *others).alias("rest"))
+    cut = _cut_rows(rows, give_text=True)
+    text = F.when(~F.col("rest._null"), F.col("kept_text")).alias(text_col)
+    fresh = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col(f"rest.{chars_col}")).alias(chars_col) if chars_col in others else None
+    return cut.select(*[text if c == text_col else fresh if c == chars_col else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+
+
+def _cut_rows(rows: DataFrame, give_text: bool) -> DataFrame:
+    """rows: (doc_id, text, rest). rest and the figures of each row, in which its bytes are cut."""
     rows = rows.withColumn("dkey", F.xxhash64("doc_id", "text"))
-    spans, total = removed_spans(rows.filter("doc_id IS NOT NULL"))
-    return _cut_rows(rows, spans, total, docs.schema[id_col].dataType, id_col, give_text)
-
-
-def _cut_rows(rows: DataFrame, spans: DataFrame, total: int, kind, id_col: str, give_text: bool, carried: tuple = ()) -> DataFrame:
+    spans, total = removed_spans(rows.filter("doc_id IS NOT NULL").select("dkey", "doc_id", "text"))
     blocked, _ = _blocked(rows, "dkey", total)
 
     def finish(t, s):
-        if not t.num_rows:
-            return pa.table({n: pa.array([], ty) for n, ty in types.items()})
         buf, off = _texts(t["text"])
         mark: dict[int, list] = {}
-        for dkey, start, windows, starts in zip(s["dkey"].to_pylist(), s["start"].to_pylist(), s["windows"].to_pylist(), s["starts"].to_pylist()):
+        for dkey, start, windows, starts in zip(*(s[c].to_pylist() for c in ("dkey", "start", "windows", "starts"))) if s.num_rows else ():
             mark.setdefault(dkey, []).append((start, windows, starts))
         removed, spans_, digest, kept_text = [], [], [], []
         for k, dkey in enumerate(t["dkey"].to_pylist()):
@@ -539,23 +551,17 @@ def _cut_rows(rows: DataFrame, spans: DataFrame, total: int, kind, id_col: str,
                 spans_.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept = text[~gone].tobytes()
             digest.append(hashlib.sha256(kept).hexdigest())
-            if give_text:
-                kept_text.append(kept.decode("utf-8", "ignore"))
-        out = {"doc_id": t["doc_id"], "n_bytes": pa.array(np.diff(off), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-        if give_text:
-            out["kept_text"] = pa.array(kept_text, pa.string())
-        for c in carried:
-            out[c] = t[c]
-        return pa.table(out)
-
-    types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if give_text:
-        types["kept_text"] = pa.string()
-        schema += ", kept_text string"
-    for c in carried:
-        kind_ = blocked.schema[c].dataType
-        types[c] = {"string": pa.string(), "bigint": pa.int64()}[kind_.simpleString()]
-        schema += f", {c} {kind_.simpleString()}"
-    out = blocked.groupBy("blk").cogroup(spans.groupBy("blk")).applyInArrow(finish, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_col)
+            kept_text.append(kept.decode("utf-8", "ignore") if give_text else None)
+        return pa.table(
+            {
+                "rest": t["rest"],
+                "n_bytes": pa.array(np.diff(off)[: t.num_rows], pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()),
+                "n_spans": pa.array(spans_, pa.int64()),
+                "kept_sha256": pa.array(digest, pa.string()),
+                "kept_text": pa.array(kept_text, pa.string()),
+            }
+        )
+
+    schema = StructType([rows.schema["rest"], *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
+    return blocked.groupBy("blk").cogroup(spans.groupBy("blk")).applyInArrow(finish, schema)

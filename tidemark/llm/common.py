@@ -41,6 +41,8 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     _forget_at_exit(spark, path)
+    # shuffle files of a finished plan go when the driver's garbage is collected
+    spark._jvm.System.gc()
     return out
 
 
@@ -76,6 +78,19 @@ def forget(*frames: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back, since workers outlive the stage that needed it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star.
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import materialize
-from .tokens import encoder, groups, public_path
+from .common import materialize, trim
+from .tokens import MEMO, encoder, public_path, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -27,10 +27,10 @@ TRIPLES = 12
 SWEEPS = 40
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", style: str = "word", window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", memo: int = MEMO) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, part, ord): pieces of each row's ids. `part` is the
     task that made a piece and `ord` its number among that task's pieces of equal length; both hold
-    only for the table they are written to. Null text has the end id alone."""
+    only for the table they are written to. `memo` bounds the pieces a worker remembers. Null text has the end id alone."""
     from pyspark import TaskContext
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))
@@ -39,21 +39,24 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", style: s
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        enc = encoder(public_path(tokenizer), style, "ids")
+        enc = encoder(public_path(tokenizer), "word", "ids", memo)
         part = TaskContext.get().partitionId()
         seen = [0] * (window + 1)
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
+            trim()
+            texts = b.column(1).fill_null("")
             src, rest = [], [[], [], [], [], []]
-            for lo, hi in groups(texts):
-                for k, ids in enumerate(enc.encode(texts[lo:hi])):
-                    ids += end
-                    n = len(ids) // 4
+            for lo, hi in slices(texts):
+                ids, bounds = enc.word_ids(texts.slice(lo, hi - lo))
+                raw, bounds = ids.astype("<u4", copy=False).tobytes(), bounds.tolist()
+                for k, (a, z) in enumerate(zip(bounds, bounds[1:]), lo):
+                    n = z - a + 1
                     for at in range(0, n, window):
-                        piece = ids[4 * at : 4 * (at + window)]
-                        length = len(piece) // 4
-                        src.append(lo + k)
-                        for c, v in zip(rest, (at, length, zlib.crc32(piece), n, seen[length])):
+                        length = min(window, n - at)
+                        piece = raw[4 * (a + at) : 4 * min(a + at + length, z)]
+                        crc = zlib.crc32(end, zlib.crc32(piece)) if at + length == n else zlib.crc32(piece)
+                        src.append(k)
+                        for c, v in zip(rest, (at, length, crc, n, seen[length])):
                             c.append(v)
                         seen[length] += 1
             cols = [pa.array(c, pa.int64()) for c in rest]

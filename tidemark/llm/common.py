@@ -95,7 +95,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """Connected components of an undirected graph, by alternating large-star and small-star.
 
     `edges` holds two long columns. Returns (node, component), the component named by its smallest
-    node; nodes without an edge are absent. Links never leave the executors. Each round halves
+    node, for every node that has an edge and is not that smallest one. Links never leave the executors. Each round halves
     distances, minima are combined before the shuffle, and the joins are plain sort-merge joins that
     adaptive execution may split, so a node with very many links does not end in one task.
     """

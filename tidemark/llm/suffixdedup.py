@@ -31,19 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import forget, materialize
+from .common import forget, materialize, trim
 
 WIDTH = 50
-GRAM = 20
+GRAM = 26
+#: The same for the second filter, which only sees distinct chunks: nearer to WIDTH, so fewer chance matches.
+FINE_GRAM = 40
 #: One in so many anchors begins a new chunk.
-CUT = 16
+CUT = 4
 BLOCK_BYTES = 4 << 20
+#: Blocks of the sort, whose arrays take some 60 bytes for each byte of text.
+FRAGMENT_BYTES = 3 << 19
+SHARED_BYTES = 1 << 18
 #: Hash buckets and sort ranges: at least LEAST_BUCKETS, and so many that each holds about BUCKET_ITEMS.
 LEAST_BUCKETS = 64
 BUCKET_ITEMS = 1_000_000
 #: Sort keys of which the splitters of ranges are quantiles.
 SPLIT_SAMPLE = 200_000
-_SPAN = WIDTH - GRAM + 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -59,67 +63,88 @@ def _texts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def _gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place, by doubling."""
-    cur, have, power = buf.astype(np.uint64) + np.uint64(1), 1, 0x100000001B3
-    out, got, n = None, 0, GRAM
+def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """32-bit hash of the `gram` bytes from each place, by doubling."""
+    cur, have, power = buf.astype(np.uint32) + np.uint32(1), 1, 0x01000193
+    out, got, n = None, 0, gram
     while True:
         if n & 1:
-            out, got = (cur, have) if out is None else (out[: len(out) - have] * np.uint64(power) + cur[got : got + len(out) - have], got + have)
+            out, got = (cur, have) if out is None else (out[: len(out) - have] * np.uint32(power) + cur[got : got + len(out) - have], got + have)
         n >>= 1
         if not n:
             break
-        cur = cur[: len(cur) - have] * np.uint64(power) + cur[have:]
-        have, power = 2 * have, power * power % (1 << 64)
-    out = out ^ (out >> np.uint64(33))
-    out *= _M1
-    out ^= out >> np.uint64(29)
-    out *= _M2
-    out ^= out >> np.uint64(32)
+        cur = cur[: len(cur) - have] * np.uint32(power) + cur[have:]
+        have, power = 2 * have, power * power % (1 << 32)
+    out = out ^ (out >> np.uint32(15))
+    out *= np.uint32(0x85EBCA6B)
+    out ^= out >> np.uint32(13)
     return out
 
 
-def _slabs(buf: np.ndarray, offsets: np.ndarray, size: int = 1 << 21):
-    """Over all windows that lie in one row: (starts, rows, anchor places, anchor hashes), a slab at a time."""
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def _names64(buf: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hash of the `gram` bytes from each of the given places."""
+    out = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(0, gram, 8):
+        word = np.zeros(len(at), np.uint64)
+        for j in range(k, min(k + 8, gram)):
+            word = (word << np.uint64(8)) | buf[at + j]
+        out = (out ^ word) * _M1
+        out ^= out >> np.uint64(32)
+        out *= _M2
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _anchor_runs(buf: np.ndarray, offsets: np.ndarray, gram: int, size: int = 1 << 17):
+    """All windows that lie in one row, as maximal runs with the same anchor: (row, first window, last + 1,
+    hash of the anchor), a slab at a time, in order. A slab's edge may cut a run."""
+    begin, end = offsets[:-1], offsets[1:] - WIDTH + 1  # a row's windows
+    keep = end > begin
+    row_id, begin, end = np.flatnonzero(keep), begin[keep], end[keep]
+    span = WIDTH - gram + 1
     for a in range(0, len(buf) - WIDTH + 1, size):
         b = min(a + size, len(buf) - WIDTH + 1)
-        h = _gram_hashes(buf[a : b + WIDTH - 1])
+        h = _gram_hashes(buf[a : b + WIDTH - 1], gram)
         # hash first, then place: the minimum is the leftmost least
-        key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        m, have = key, 1
-        while 2 * have <= _SPAN:
+        m, have = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), 1
+        while 2 * have <= span:
             m = np.minimum(m[: len(m) - have], m[have:])
             have *= 2
-        m = np.minimum(m[: b - a], m[_SPAN - have : _SPAN - have + b - a])
-        place = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        starts = np.arange(a, b)
-        ok = row_of[a:b] == row_of[a + WIDTH - 1 : b + WIDTH - 1]
-        place = place[ok]
-        yield starts[ok], row_of[a:b][ok], place + a, h[place]
+        m = np.minimum(m[: b - a], m[span - have : span - have + b - a])
+        lo, hi = np.searchsorted(end, a, side="right"), np.searchsorted(begin, b)
+        if lo >= hi:
+            continue
+        edges = [np.flatnonzero(m[1:] != m[:-1]) + 1 + a, np.maximum(begin[lo:hi], a), np.minimum(end[lo:hi], b)]
+        cuts = np.unique(np.concatenate(edges))
+        first, last = cuts[:-1], cuts[1:]
+        if not len(first):
+            continue
+        r = np.searchsorted(begin, first, side="right") - 1
+        good = (r >= 0) & (first < end[np.maximum(r, 0)])
+        first, last, r = first[good], last[good], r[good]
+        place = (m[first - a] & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
+        yield row_id[r], first, last, _names64(buf, place, gram)
 
 
-def _per_row(buf, offsets):
+def _per_row(buf, offsets, gram):
     """The distinct (hash, row) of all anchors."""
-    got = []
-    for _, rows, place, h in _slabs(buf, offsets):
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])]) if len(place) else np.zeros(0, bool)
-        got.append(np.rec.fromarrays([h[new], rows[new]], names="h,r"))
+    got = [(h, row) for row, _, _, h in _anchor_runs(buf, offsets, gram)]
     if not got:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, r = np.concatenate([g["h"] for g in got]), np.concatenate([g["r"] for g in got])
+    h, r = (np.concatenate(x) for x in zip(*got))
     order = np.lexsort((r, h))
     h, r = h[order], r[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
+    new = _runs(h, r)
     return h[new], r[new]
 
 
-def _repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
+def _repeated_anchors(rows: DataFrame, buckets: int, gram: int) -> DataFrame:
     """rows: (blk, text). (blk, hashes): the anchors of each block that occur in several rows."""
 
     def gather(t):
+        trim()
         buf, off = _texts(t["text"])
-        h, _ = _per_row(buf, off)
+        h, _ = _per_row(buf, off, gram)
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         many = np.diff(np.append(new, len(h))) > 1
         h = h[new]
@@ -159,39 +184,30 @@ def _repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "blk int, h binary")
 
 
-def _candidate_runs(buf, off, found: np.ndarray, cut: int):
+def _candidate_runs(buf, off, found: np.ndarray, cut: int, gram: int):
     """(row, first window, last window + 1) of each maximal run of windows whose anchors are in `found`
     (sorted), cut before windows whose anchor's hash selects it."""
     out = []
-    for starts, rows, place, h in _slabs(buf, off):
-        if not len(starts) or not len(found):
-            continue
-        at = np.minimum(np.searchsorted(found, h), len(found) - 1)
-        good = found[at] == h
-        starts, rows, place, h = starts[good], rows[good], place[good], h[good]
-        if not len(starts):
-            continue
-        new = (np.diff(starts) != 1) | (np.diff(rows) != 0)
-        if cut:
-            new |= (np.diff(place) != 0) & ((h[1:] >> np.uint64(7)) % np.uint64(cut) == 0)
-        first = np.concatenate([[0], np.flatnonzero(new) + 1])
-        last = np.append(first[1:], len(starts)) - 1
-        out.append((rows[first], starts[first], starts[last] + 1, h[first], place[first]))
+    for row, first, last, h in _anchor_runs(buf, off, gram):
+        if len(found):
+            good = found[np.minimum(np.searchsorted(found, h), len(found) - 1)] == h
+            out.append((row[good], first[good], last[good], h[good]))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z
-    rows, lo, hi, h, place = (np.concatenate(x) for x in zip(*out))
-    # runs that a slab's edge cut, and no anchor did, are one
-    joined = (lo[1:] == hi[:-1]) & (rows[1:] == rows[:-1])
+    row, lo, hi, h = (np.concatenate(x) for x in zip(*out))
+    if not len(row):
+        return row, lo, hi
+    joined = (lo[1:] == hi[:-1]) & (row[1:] == row[:-1])
     if cut:
-        joined &= ~((h[1:] >> np.uint64(7)) % np.uint64(cut) == 0)
-    first = np.concatenate([[True], ~joined]) if len(lo) else np.zeros(0, bool)
-    last = np.concatenate([~joined, [True]]) if len(lo) else np.zeros(0, bool)
-    return rows[first], lo[first], hi[last]
+        joined &= ((h[1:] >> np.uint64(7)) % np.uint64(cut) != 0) | (h[1:] == h[:-1])
+    starts = np.concatenate([[True], ~joined])
+    ends = np.concatenate([~joined, [True]])
+    return row[starts], lo[starts], hi[ends]
 
 
-def _blocked(df: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-total // BLOCK_BYTES))
+def _blocked(df: DataFrame, key: str, total: int, size: int | None = None) -> tuple[DataFrame, int]:
+    n = max(1, -(-total // (size or BLOCK_BYTES)))
     return df.withColumn("blk", F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(n)).cast("int")), n
 
 
@@ -209,8 +225,9 @@ def _chunks(rows: DataFrame, found: DataFrame) -> DataFrame:
     start, windows, text."""
 
     def cut(t, f):
+        trim()
         buf, off = _texts(t["text"])
-        row, lo, hi = _candidate_runs(buf, off, _bytes_sorted(f["h"].to_pylist()), CUT)
+        row, lo, hi = _candidate_runs(buf, off, _bytes_sorted(f["h"].to_pylist()), CUT, GRAM)
         raw = buf.tobytes()
         texts = [raw[a : b + WIDTH - 1] for a, b in zip(lo.tolist(), hi.tolist())]
         take = pa.array(row, pa.int64())
@@ -233,20 +250,35 @@ def _fragments(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """chunks: (blk, ckey, owner, text). (ckey, off, owner, text): the parts that other chunks may hold too."""
 
     def cut(t, f):
+        trim()
         buf, off = _texts(t["text"])
-        row, lo, hi = _candidate_runs(buf, off, _bytes_sorted(f["h"].to_pylist()), 0)
+        row, lo, hi = _candidate_runs(buf, off, _bytes_sorted(f["h"].to_pylist()), 0, FINE_GRAM)
         raw = buf.tobytes()
         take = pa.array(row, pa.int64())
+        texts = [raw[a : b + WIDTH - 1] for a, b in zip(lo.tolist(), hi.tolist())]
         return pa.table(
             {
+                "near": pa.array(_least_anchor(texts), pa.int64()),
                 "ckey": t["ckey"].combine_chunks().take(take) if len(row) else pa.array([], pa.binary()),
                 "off": pa.array(lo - off[row], pa.int64()),
                 "owner": t["owner"].combine_chunks().take(take) if len(row) else pa.array([], pa.int64()),
-                "text": pa.array([raw[a : b + WIDTH - 1] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()),
+                "text": pa.array(texts, pa.binary()),
             }
         )
 
-    return chunks.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(cut, "ckey binary, off long, owner long, text binary")
+    return chunks.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(cut, "near long, ckey binary, off long, owner long, text binary")
+
+
+def _least_anchor(texts: list[bytes]) -> np.ndarray:
+    """The least anchor hash of each text: similar texts mostly share it."""
+    if not texts:
+        return np.zeros(0, np.int64)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = [(row, h) for row, _, _, h in _anchor_runs(np.frombuffer(b"".join(texts), np.uint8), off, GRAM)]
+    out = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+    for row, h in got:
+        np.minimum.at(out, row, h)
+    return out.view(np.int64)
 
 
 class _Block:
@@ -256,19 +288,18 @@ class _Block:
         t = t.sort_by([("ckey", "ascending"), ("off", "ascending")])
         self.table = t
         buf, self.off = _texts(t["text"])
-        pad = np.zeros(WIDTH + 32, np.uint8)
-        self.buf = np.concatenate([buf, pad])
-        n = np.diff(self.off)
-        self.row = np.repeat(np.arange(len(n)), n)
-        self.pos = np.arange(len(buf)) - np.repeat(self.off[:-1], n)
+        self.buf = np.concatenate([buf, np.zeros(WIDTH + 32, np.uint8)])
+        n = np.diff(self.off).astype(np.int32)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.pos = np.arange(len(buf), dtype=np.int32) - np.repeat(self.off[:-1].astype(np.int32), n)
         self.left = np.repeat(n, n) - self.pos
+        # the eight bytes from each place, as an integer of the same order, by doubling
+        w = (self.buf[:-1].astype(np.uint64) << np.uint64(8)) | self.buf[1:]
+        w = (w[:-2] << np.uint64(16)) | w[2:]
+        self.words = (w[:-4] << np.uint64(32)) | w[4:]
 
     def word(self, at: np.ndarray) -> np.ndarray:
-        """The eight bytes from each place, as an integer of the same order."""
-        out = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            out = (out << np.uint64(8)) | self.buf[at + k]
-        return out
+        return self.words[at]
 
     def sampled(self, depth: int) -> np.ndarray:
         return np.flatnonzero((self.pos % 3 != 0) & (self.left >= depth))
@@ -277,9 +308,14 @@ class _Block:
         return np.flatnonzero(self.left >= WIDTH)
 
 
+def _by_part(part: np.ndarray) -> np.ndarray:
+    """A stable order by range; small integers sort by radix."""
+    return np.argsort(part.astype(np.uint16) if not len(part) or part.max() < 1 << 16 else part, kind="stable")
+
+
 def _deal(part: np.ndarray, n: int, blk: int, **columns: np.ndarray) -> pa.Table:
     """One packed row for each sort range, in the block's order."""
-    order = np.argsort(part, kind="stable")
+    order = _by_part(part)
     cut = np.searchsorted(part[order], np.arange(n + 1))
     full = [k for k in range(n) if cut[k] < cut[k + 1]]
     out = {"part": pa.array(full, pa.int32()), "blk": pa.array([blk] * len(full), pa.int32())}
@@ -306,7 +342,7 @@ def _restore(part: np.ndarray, t: pa.Table, name: str, dtype) -> np.ndarray:
     """Undoes _deal for returned rows: values in the order of `part`."""
     out = np.zeros(len(part), dtype)
     got = {p: x for p, x in zip(t["part"].to_pylist(), t[name].to_pylist())}
-    order = np.argsort(part, kind="stable")
+    order = _by_part(part)
     ids, at = np.unique(part[order], return_index=True)
     at = np.append(at, len(order))
     for k, p in enumerate(ids.tolist()):
@@ -344,46 +380,82 @@ def _splitters(frags: DataFrame, n: int) -> np.ndarray:
     return np.unique(w[(np.arange(1, n) * len(w)) // n])
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of the distinct values, as uint64."""
+    order = np.argsort(key)
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(_runs(key[order])) - 1
+    return out
+
+
+def _joint(code: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Dense ranks of pairs (code, rank), both below 2^32."""
+    return _dense((code << np.uint64(32)) | rank.astype(np.uint64))
+
+
 def _least(owner: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """For each element the least owner among those with equal keys: sort, compare adjacent, spread."""
     out = np.empty(len(owner), owner.dtype)
     if not len(owner):
         return out
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     starts = np.flatnonzero(_runs(*(k[order] for k in keys)))
     low = np.minimum.reduceat(owner[order], starts)
     out[order] = np.repeat(low, np.diff(np.append(starts, len(order))))
     return out
 
 
+def _pair(short: np.ndarray, bits: int, name: np.ndarray, n: int) -> tuple:
+    """(short, name) in one integer where that fits; names are range << 32 | rank, of n ranges."""
+    if n <= 1 << (32 - bits):
+        return ((short.astype(np.uint64) << np.uint64(64 - bits)) | name,)
+    return short, name
+
+
 def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
     """frags: (blk, ckey, off, owner, text), materialized. (ckey, starts): windows of each chunk, as packed
     int64 offsets, that also start in a fragment of a lesser owner. The difference-cover sort."""
     n = _buckets(total * 2 // 3)
     ranges = frags.sparkSession.sparkContext.broadcast(_splitters(frags, n))
     n = len(ranges.value) + 1
+    wide = np.uint16 if n <= 1 << 16 else np.uint32
+    merged = ("counts", "head", "xh", "xl", "yh", "yl", "owners", "which")
+    merged_ddl = "part int, blk int, " + ", ".join(f"{c} binary" for c in merged)
+
+    def distinct(b):
+        """The sampled places, the distinct 24-byte keys of a block, and which key each place has."""
+        at = b.sampled(24)
+        keys = [b.word(at), b.word(at + 8), b.word(at + 16)]
+        mixed = keys[0] * _M1
+        for k in keys[1:]:
+            mixed = (mixed ^ (mixed >> np.uint64(31)) ^ k) * _M2
+        order = np.argsort(mixed)
+        if (_runs(mixed[order]) != _runs(*(k[order] for k in keys))).any():  # two keys of one hash
+            order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = _runs(*keys)
+        which = np.empty(len(at), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return at, [k[new] for k in keys], which
 
     def triples(t):
         b = _Block(t)
-        at = b.sampled(24)
-        w = b.word(at)
-        part = np.searchsorted(ranges.value, w, side="right")
-        return _deal(part, n, t["blk"][0].as_py(), a=w, b=b.word(at + 8), c=b.word(at + 16))
+        _, keys, _ = distinct(b)
+        part = np.searchsorted(ranges.value, keys[0], side="right")
+        return _deal(part, n, t["blk"][0].as_py(), a=keys[0], b=keys[1], c=keys[2])
 
     def name_triples(t):
         a, b, c = (_packed(t, x, np.uint64) for x in "abc")
-        order = np.lexsort((c, b, a))
-        rank = np.cumsum(_runs(a[order], b[order], c[order])) - 1
-        names = np.empty(len(a), np.uint32)
-        names[order] = rank
+        names = _joint(_joint(_dense(a), _dense(b)), _dense(c)).astype(np.uint32)
         return _returned(t, [len(x) // 8 for x in t["a"].to_pylist()], name=names)
 
     def named24(b, names):
         """The 24-byte names of all sampled places: range in the high half, rank in the low."""
-        at = b.sampled(24)
-        part = np.searchsorted(ranges.value, b.word(at), side="right")
+        at, keys, which = distinct(b)
+        part = np.searchsorted(ranges.value, keys[0], side="right")
+        got = (part.astype(np.uint64) << np.uint64(32)) | _restore(part, names, "name", np.uint32)
         full = np.zeros(len(b.pos) + WIDTH, np.uint64)
-        full[at] = (part.astype(np.uint64) << np.uint64(32)) | _restore(part, names, "name", np.uint32)
+        full[at] = got[which]
         return full
 
     def recurse(t, names):
@@ -397,17 +469,10 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
 
     def name_suffixes(t):
         a, b, c = _packed(t, "a", np.uint64), _packed(t, "b", np.uint64), _packed(t, "c", np.uint16)
-        order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        place = np.arange(len(a), dtype=np.uint32)
-        out = {}
-        for name, keys in (("d50", (a, b, c)), ("d49", (a, b, c >> np.uint16(8))), ("d48", (a, b))):
-            new = _runs(*keys)
-            first = np.maximum.accumulate(np.where(new, place, 0))
-            names = np.empty(len(a), np.uint32)
-            names[order] = first
-            out[name] = names
-        return _returned(t, [len(x) // 8 for x in t["a"].to_pylist()], **out)
+        d48 = _joint(a & np.uint64(0xFFFFFFFF), _dense(b))
+        d49 = _joint(d48, c >> np.uint16(8))
+        d50 = _joint(d49, c)
+        return _returned(t, [len(x) // 8 for x in t["a"].to_pylist()], **{k: v.astype(np.uint32) for k, v in (("d50", d50), ("d49", d49), ("d48", d48))})
 
     def remaining(t, names):
         b = _Block(t)
@@ -419,31 +484,59 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
             full[at] = (part.astype(np.uint64) << np.uint64(32)) | _restore(part, names, d, np.uint32)
             deep[d] = full
         i = b.windows()
+        # by range, then class, then place: the class of an element follows from two counts
         cls = b.pos[i] % 3
-        t0, t1 = b.buf[i].astype(np.uint64), b.buf[i + 1].astype(np.uint64)
-        zero = np.uint64(0)
-        own = np.where(cls == 0, zero, deep["d50"][i])
-        by1 = np.where(cls == 2, zero, deep["d49"][i + 1])
-        by2 = np.where(cls == 1, zero, deep["d48"][i + 2])
-        head = ((t0 << np.uint64(8)) | t1).astype(np.uint16)
         part = np.searchsorted(ranges.value, b.word(i), side="right")
+        order = _by_part(part * 3 + cls)
+        i, cls, part = i[order], cls[order], part[order]
+        # the two names that place a suffix: class 0 has (i + 1, i + 2), class 1 (i, i + 1), class 2 (i, i + 2)
+        x = np.where(cls == 0, deep["d49"][i + 1], deep["d50"][i])
+        y = np.where(cls == 1, deep["d49"][i + 1], deep["d48"][i + 2])
         owner = np.asarray(b.table["owner"])[b.row[i]]
-        return _deal(part, n, t["blk"][0].as_py(), cls=cls.astype(np.uint8), head=head, own=own, by1=by1, by2=by2, owner=owner)
+        cut = np.searchsorted(part, np.arange(n + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            s = slice(cut[k], cut[k + 1])
+            owners, which = np.unique(owner[s], return_inverse=True)
+            high = [(v[s] >> np.uint64(32)).astype(wide).tobytes() for v in (x, y)]
+            low = [v[s].astype(np.uint32).tobytes() for v in (x, y)]
+            head = b.buf[i[s]].tobytes() + b.buf[i[s] + 1].tobytes()
+            counts = np.bincount(cls[s], minlength=3).astype(np.int64).tobytes()
+            rows.append((k, counts, head, high[0], low[0], high[1], low[1], owners.astype(np.int64).tobytes(), which.astype(np.uint16 if len(owners) <= 1 << 16 else np.uint32).tobytes()))
+        cols = list(zip(*rows)) or [[]] * 9
+        out = {"part": pa.array(cols[0], pa.int32()), "blk": pa.array([t["blk"][0].as_py()] * len(rows), pa.int32())}
+        return pa.table(out | {c: pa.array(v, pa.binary()) for c, v in zip(merged, cols[1:])})
 
     def merge(t):
-        cls, head, owner = _packed(t, "cls", np.uint8), _packed(t, "head", np.uint16), _packed(t, "owner", np.int64)
-        own, by1, by2 = (_packed(t, x, np.uint64) for x in ("own", "by1", "by2"))
+        trim()
+        cls, heads, xs, ys, owners, sizes = [], [], [], [], [], []
+        for counts, head, xh, xl, yh, yl, ids, which in zip(*(t[c].to_pylist() for c in merged)):
+            c = np.frombuffer(counts, np.int64)
+            m = int(c.sum())
+            sizes.append(m)
+            cls.append(np.repeat(np.arange(3, dtype=np.uint8), c))
+            h = np.frombuffer(head, np.uint8).reshape(2, m).astype(np.uint16)
+            heads.append((h[0] << np.uint16(8)) | h[1])
+            for to, hi, lo in ((xs, xh, xl), (ys, yh, yl)):
+                to.append((np.frombuffer(hi, wide).astype(np.uint64) << np.uint64(32)) | np.frombuffer(lo, np.uint32))
+            owners.append(np.frombuffer(ids, np.int64)[np.frombuffer(which, np.uint16 if len(which) == 2 * m else np.uint32)])
+        cls, head, x, y, owner = (np.concatenate(v) for v in (cls, heads, xs, ys, owners))
         low = owner.copy()
-        for keep, keys in ((cls != 0, (own,)), (cls != 2, (head >> np.uint16(8), by1)), (cls != 1, (head, by2))):
+        one = head >> np.uint16(8)
+        # sampled suffixes among themselves; class 0 with class 1; class 0 with class 2
+        for keep, keys in ((cls != 0, (x,)), (cls != 2, _pair(one, 8, np.where(cls == 0, x, y), n)), (cls != 1, _pair(head, 16, y, n))):
             at = np.flatnonzero(keep)
             low[at] = np.minimum(low[at], _least(owner[at], *(k[at] for k in keys)))
-        return _returned(t, [len(x) for x in t["cls"].to_pylist()], gone=low < owner)
+        return _returned(t, sizes, gone=low < owner)
 
     def back(t, gone):
+        trim()
         b = _Block(t)
         i = b.windows()
         part = np.searchsorted(ranges.value, b.word(i), side="right")
-        hit = i[_restore(part, gone, "gone", bool)]
+        order = _by_part(part * 3 + b.pos[i] % 3)
+        i, part = i[order], part[order]
+        hit = np.sort(i[_restore(part, gone, "gone", bool)])
         row = b.row[hit]
         start = b.pos[hit] + np.asarray(b.table["off"])[row]
         ids, at = np.unique(row, return_index=True)
@@ -464,7 +557,7 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
     sent = groups(recurse, names, "part int, blk int, a binary, b binary, c binary")
     deep = materialize(sent.groupBy("part").applyInArrow(name_suffixes, "part int, blk int, d50 binary, d49 binary, d48 binary"), "names50")
     forget(names)
-    sent = groups(remaining, deep, "part int, blk int, cls binary, head binary, own binary, by1 binary, by2 binary, owner binary")
+    sent = groups(remaining, deep, merged_ddl)
     gone = materialize(sent.groupBy("part").applyInArrow(merge, "part int, blk int, gone binary"), "gone")
     forget(deep)
     return groups(back, gone, "ckey binary, starts binary")
@@ -476,19 +569,27 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     deals it, and that total."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows, _ = _blocked(docs, "dkey", total)
-    found = materialize(_repeated_anchors(rows, _buckets(total // 16)), "anchors")
+    found = materialize(_repeated_anchors(rows, _buckets(total // 12), GRAM), "anchors")
     occ = materialize(_chunks(rows, found), "chunks")
     forget(found)
     chunks = occ.groupBy("ckey").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text"))
     chunks = materialize(chunks, "distinct-chunks")
+    whole, occ = occ, materialize(occ.drop("text"), "occurrences")
+    forget(whole)
     size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocked, _ = _blocked(chunks, "ckey", size)
-    again = materialize(_repeated_anchors(blocked, _buckets(size // 16)), "anchors")
+    again = materialize(_repeated_anchors(blocked, _buckets(size // 6), FINE_GRAM), "anchors")
     frags = materialize(_fragments(blocked, again), "fragments")
     forget(again)
+    whole, chunks = chunks, materialize(chunks.drop("text"), "owners")
+    forget(whole)
     left = frags.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    frags, blocks = _blocked(frags.withColumn("_f", F.xxhash64("ckey", "off")), "_f", left)
-    hits = materialize(suffix_matches(frags.drop("_f"), blocks, left), "hits")
+    # fragments that share text meet in a block where they can, so that equal keys are sent once; what
+    # shares an anchor beyond SHARED_BYTES is dealt to several blocks
+    near = frags.groupBy("near").agg(F.ceil(F.sum(F.octet_length("text")) / SHARED_BYTES).cast("int").alias("parts")).filter("parts > 1")
+    frags = frags.join(near, "near", "left").withColumn("home", F.xxhash64("near", F.pmod(F.xxhash64("ckey", "off"), F.coalesce("parts", F.lit(1)))))
+    frags, blocks = _blocked(frags.drop("near", "parts"), "home", left, FRAGMENT_BYTES)
+    hits = materialize(suffix_matches(frags.drop("home"), blocks, left), "hits")
     hits = hits.groupBy("ckey").agg(F.collect_list("starts").alias("starts"))  # a chunk has as many rows as fragments
     info = chunks.select("ckey", "owner").join(hits, "ckey", "left")
     per = occ.select("ckey", "doc_id", "dkey", "blk", "start", "windows").join(info, "ckey").filter("doc_id > owner OR starts IS NOT NULL")
@@ -525,6 +626,7 @@ def _cut_rows(rows: DataFrame, give_text: bool) -> DataFrame:
     blocked, _ = _blocked(rows, "dkey", total)
 
     def finish(t, s):
+        trim()
         buf, off = _texts(t["text"])
         mark: dict[int, list] = {}
         for dkey, start, windows, starts in zip(*(s[c].to_pylist() for c in ("dkey", "start", "windows", "starts"))) if s.num_rows else ():

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on at most so many labelled rows: those whose hashed ids are smallest.
-TRAIN_ROWS = 20_000
-#: Languages learned at most, the most frequent of the sample first.
+#: The classifier is fitted on about so many labelled rows of each language, or all if there are fewer:
+#: those whose hashed ids lie below that share of the range.
+TRAIN_ROWS = 4_000
+#: Languages learned at most, the most frequent first.
 MAX_LANGS = 512
 #: Code points scored at once.
 CHUNK = 400_000
@@ -72,8 +73,9 @@ def _chunks(texts: list[str]):
         yield part
 
 
-def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """rows: (text, lang). Languages by name and their log probabilities, prior in the last column."""
+def train(rows: DataFrame, frequency: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    """rows: (text, lang). Languages by name and their log probabilities; the prior, from their
+    frequencies in all labelled rows, in the last column."""
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -86,33 +88,35 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                     ends = np.append(starts[1:], len(c))
                     for (i, _), lo, hi in zip(part, starts, ends):
                         own = g[lo : max(lo, hi - order + 1)]
-                        acc = total.setdefault(langs[i], np.zeros(BUCKETS + 1, dtype=np.int64))
-                        acc[:BUCKETS] += np.bincount(own[own >= 0], minlength=BUCKETS)
-            for x in langs:
-                total[x][BUCKETS] += 1
+                        acc = total.setdefault(langs[i], np.zeros(BUCKETS, dtype=np.int64))
+                        acc += np.bincount(own[own >= 0], minlength=BUCKETS)
         out = [(lang, int(k), int(v[k])) for lang, v in total.items() for k in np.flatnonzero(v)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64()))], names=["lang", "bucket", "n"])
 
     sums = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toPandas() if rows.sparkSession.conf.get("spark.sql.execution.arrow.pyspark.enabled") == "true" else None
     found: dict[str, np.ndarray] = {}
-    triples = got.itertuples(index=False) if got is not None else sums.collect()
-    for lang, k, n in triples:
-        found.setdefault(lang, np.zeros(BUCKETS + 1))[k] = n
-    langs = sorted(sorted(found, key=lambda x: (-found[x][BUCKETS], x))[:MAX_LANGS])
+    for lang, k, n in sums.toLocalIterator():  # at most MAX_LANGS x BUCKETS rows
+        found.setdefault(lang, np.zeros(BUCKETS))[k] = n
+    langs = sorted(found)
     if not langs:
         return [], np.zeros((0, BUCKETS + 1), dtype=np.float32)
-    m = np.array([found[x] for x in langs])
-    counts, docs = m[:, :BUCKETS] + 0.5, m[:, BUCKETS]
+    counts = np.array([found[x] for x in langs]) + 0.5
+    prior = np.array([frequency[x] for x in langs], dtype=float)
     logp = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    return langs, np.hstack([logp, np.log(docs / docs.sum())[:, None]]).astype(np.float32)
+    return langs, np.hstack([logp, np.log(prior / prior.sum())[:, None]]).astype(np.float32)
 
 
-def sample_rows(docs: DataFrame, id_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows with the smallest hashed ids: first ids only, so that texts of others are not moved."""
-    bound = docs.select(F.xxhash64(F.col(id_col), F.lit(7)).alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return docs.limit(0) if bound is None else docs.filter(F.xxhash64(F.col(id_col), F.lit(7)) <= bound)
+def sample_rows(docs: DataFrame, id_col: str, rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
+    """A sample by language, and the languages' frequencies. Ids are hashed to [0, 1); a language's
+    share is rows / frequency, so a frequent language does not crowd out a rare one."""
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    frequency = {r["lang"]: r["count"] for r in counts.collect()}
+    if not frequency:
+        return docs.limit(0), {}
+    share = F.create_map(*[F.lit(x) for lang, n in frequency.items() for x in (lang, min(1.0, rows / n))])
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(7)), 11) / F.lit(float(1 << 53))
+    return docs.filter(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))), frequency
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -173,6 +177,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     text of a row takes part in its prediction."""
     fold = F.crc32(F.col(id_col).cast("string")) % 5
     seen = docs.filter((fold != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "text", "lang")
-    model = train(sample_rows(seen, id_col))
+    model = train(*sample_rows(seen, id_col))
     marked = docs.select(id_col, "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
     return predict(marked, model, id_col, ("held_out",))

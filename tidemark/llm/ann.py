@@ -69,7 +69,7 @@ def tile(query_ids, queries, cand_ids, cands, k: int):
         rows, cols = np.nonzero(approx + err >= low[:, None])
         for a in range(0, len(rows), 200_000):
             r, c = rows[a : a + 200_000], cols[a : a + 200_000]
-            score = (queries[lo + r] * distinct[c]).sum(axis=1)
+            score = _products(queries, lo + r, distinct, c)
             # each distinct vector stands for its smallest ids
             n = np.minimum(sizes[c], k + 1)
             rep = np.repeat(np.arange(len(c)), n)
@@ -88,6 +88,15 @@ def tile(query_ids, queries, cand_ids, cands, k: int):
     return qi[keep], ids[keep], score[keep]
 
 
+def _products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products x[i] . y[j] in double precision, summed in the order of the components, so that
+    equal pairs have equal scores wherever they stand."""
+    out = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        out += x[i, d] * y[j, d]
+    return out
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float32())
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)

@@ -58,13 +58,24 @@ def fingerprint(hashes: list[int]) -> int:
     return _sums(np.array(hashes, dtype=np.uint64)) if hashes else 0
 
 
+def _print(text: str | None, feature: str) -> int:
+    if not feature.startswith("words"):
+        return fingerprint(shingle_hashes(text, int(feature[7:])))
+    h = np.array(word_hashes(text), dtype=np.uint64)
+    if feature == "wordsagain":
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return _sums(h) if len(h) else 0
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame, features: tuple[str, ...] = ("shingle3",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp_<feature> long ...) for each row: "shingleN" takes N-word shingles with repeats,
-    "words" the set of words. Null and blank texts have fingerprint 0."""
+    "words" the set of words, "wordsagain" the same with hashes mixed anew. Null and blank texts have
+    fingerprint 0."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     names = [id_col, *(f"fp_{f}" for f in features)]
     schema = StructType([StructField(id_col, rows.schema["_id"].dataType), *(StructField(n, LongType()) for n in names[1:])])
@@ -74,7 +85,7 @@ def fingerprints(docs: DataFrame, features: tuple[str, ...] = ("shingle3",), id_
             texts = b.column(1)
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
-                cols = [pa.array([_signed(fingerprint(word_hashes(t) if f == "words" else shingle_hashes(t, int(f[7:])))) for t in part], pa.int64()) for f in features]
+                cols = [pa.array([_signed(_print(t, f)) for t in part], pa.int64()) for f in features]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), *cols], names=names)
 
     return rows.mapInArrow(make, schema)
@@ -191,14 +202,16 @@ def _blocks(bits: int, more_bits: int):
 
 
 def links(nodes: DataFrame, max_bits: int, more_bits: int = BITS) -> DataFrame:
-    """nodes: distinct (node, fp, more) longs. Links (a, b) that connect exactly those nodes which a
+    """nodes: distinct (node, fp, more) longs, fp or, to be indexed each by itself, an array of them. Links (a, b) that connect exactly those nodes which a
     chain of pairs with at most max_bits differing bits of fp, and more_bits of more, connects."""
     keys = []
+    several = nodes.schema["fp"].dataType.typeName() == "array"
+    nodes = nodes.select("node", "more", F.posexplode("fp").alias("copy", "fp")) if several else nodes.withColumn("copy", F.lit(0))
     for s, (shift, width) in enumerate(segments(max_bits)):
         part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
             # the wildcard's place goes into the key's high part
-            keys.append(F.struct(F.lit(s * BITS + bit).alias("seg"), part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit))).alias("key")))
+            keys.append(F.struct((F.col("copy") * 4096 + s * BITS + bit).cast("int").alias("seg"), part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit))).alias("key")))
     index = nodes.select("node", "fp", "more", F.explode(F.array(*keys)).alias("k")).select("k.seg", "k.key", "node", "fp", "more")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.repartition(n, "seg", "key").sortWithinPartitions("seg", "key")
@@ -218,7 +231,7 @@ def components(rows: DataFrame, max_bits: int, more_bits: int = BITS, id_col: st
     """rows: (id, fp[, more]), materialized. Adds component_id, the smallest id reachable. Copies (equal
     fingerprints) take part once; null ids name no component unless all of its ids are null."""
     has_more = "more" in rows.columns
-    rows = rows.withColumn("node", F.xxhash64("fp", "more") if has_more else F.col("fp"))
+    rows = rows.withColumn("node", F.xxhash64("fp", "more") if has_more else F.col("fp"))  # fp may be an array
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), (F.first("more") if has_more else F.lit(0).cast("long")).alias("more"), F.min(id_col).alias("least"))
     nodes = materialize(nodes, "nodes")
     found = connected_components(links(nodes.drop("least"), max_bits, more_bits))
@@ -238,13 +251,15 @@ def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 2, id_col: st
 def near_duplicates(docs: DataFrame, max_bits: int = 5, shingle: int = 5, shingle_bits: int = 17, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, one of each group of near copies: that with the smallest id.
 
-    Candidates are fingerprints of the distinct words with at most max_bits differing bits; a link
+    Candidates are two independent fingerprints of the distinct words, one of them with at most max_bits
+    differing bits; a link
     also needs at most shingle_bits differing bits of the five-word-shingle fingerprint, which holds
     for similarities of 0.8 and more (unrelated texts differ in 32 +- 4). Rows with null or blank text
     are kept, each for itself. Of rows with equal smallest ids one stays."""
     rows = docs.withColumn("_words", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     named = rows.filter("_words").select(F.col(id_col).alias("_id"), F.col("text"))
-    fps = fingerprints(named, ("words", f"shingle{shingle}"), "_id").withColumnsRenamed({"fp_words": "fp", f"fp_shingle{shingle}": "more"})
+    fps = fingerprints(named, ("words", "wordsagain", f"shingle{shingle}"), "_id")
+    fps = fps.select("_id", F.array("fp_words", "fp_wordsagain").alias("fp"), F.col(f"fp_shingle{shingle}").alias("more"))
     out = components(materialize(fps, "fps"), max_bits, shingle_bits, "_id")
     # which ids go: all but the least of their component (null ids only with a component that has one)
     drop = out.filter("component_id IS NOT NULL AND _id <> component_id").select(F.col("_id")).distinct()

@@ -110,10 +110,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if before["n"] == 0:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # written, so that the joins have plain exchanges on either side, which can be split
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.filter("u <> v").distinct(), "large")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -123,7 +124,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         nxt = materialize(small, "edges")
         after = nxt.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        forget(cur)
+        forget(cur, least, large, down)
         cur = nxt
         if (before["n"], before["x"]) == (after["n"], after["x"]):
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

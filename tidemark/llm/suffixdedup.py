@@ -41,7 +41,7 @@ FINE_GRAM = 40
 CUT = 4
 BLOCK_BYTES = 4 << 20
 #: Blocks of the sort, whose arrays take some 60 bytes for each byte of text.
-FRAGMENT_BYTES = 3 << 19
+FRAGMENT_BYTES = 2 << 20
 SHARED_BYTES = 1 << 18
 #: Hash buckets and sort ranges: at least LEAST_BUCKETS, and so many that each holds about BUCKET_ITEMS.
 LEAST_BUCKETS = 64
@@ -465,14 +465,17 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
         first = name[at]
         # the tail of a suffix too short for it is never looked at
         tail = (b.buf[at + 48].astype(np.uint16) << np.uint16(8)) | b.buf[at + 49]
-        return _deal((first >> np.uint64(32)).astype(np.int64), n, t["blk"][0].as_py(), a=first, b=name[at + 24], c=tail)
+        # the range of the first name is that of the row; of the second it is sent apart
+        second = name[at + 24]
+        return _deal((first >> np.uint64(32)).astype(np.int64), n, t["blk"][0].as_py(), a=first.astype(np.uint32), high=(second >> np.uint64(32)).astype(wide), b=second.astype(np.uint32), c=tail)
 
     def name_suffixes(t):
-        a, b, c = _packed(t, "a", np.uint64), _packed(t, "b", np.uint64), _packed(t, "c", np.uint16)
-        d48 = _joint(a & np.uint64(0xFFFFFFFF), _dense(b))
+        a, b, c = _packed(t, "a", np.uint32), _packed(t, "b", np.uint32), _packed(t, "c", np.uint16)
+        second = (_packed(t, "high", wide).astype(np.uint64) << np.uint64(32)) | b
+        d48 = _joint(a.astype(np.uint64), _dense(second))
         d49 = _joint(d48, c >> np.uint16(8))
         d50 = _joint(d49, c)
-        return _returned(t, [len(x) // 8 for x in t["a"].to_pylist()], **{k: v.astype(np.uint32) for k, v in (("d50", d50), ("d49", d49), ("d48", d48))})
+        return _returned(t, [len(x) // 4 for x in t["a"].to_pylist()], **{k: v.astype(np.uint32) for k, v in (("d50", d50), ("d49", d49), ("d48", d48))})
 
     def remaining(t, names):
         b = _Block(t)
@@ -554,7 +557,7 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
 
     sent = frags.groupBy("blk").applyInArrow(triples, "part int, blk int, a binary, b binary, c binary")
     names = materialize(sent.groupBy("part").applyInArrow(name_triples, "part int, blk int, name binary"), "names24")
-    sent = groups(recurse, names, "part int, blk int, a binary, b binary, c binary")
+    sent = groups(recurse, names, "part int, blk int, a binary, high binary, b binary, c binary")
     deep = materialize(sent.groupBy("part").applyInArrow(name_suffixes, "part int, blk int, d50 binary, d49 binary, d48 binary"), "names50")
     forget(names)
     sent = groups(remaining, deep, merged_ddl)
@@ -587,10 +590,15 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     # fragments that share text meet in a block where they can, so that equal keys are sent once; what
     # shares an anchor beyond SHARED_BYTES is dealt to several blocks
     near = frags.groupBy("near").agg(F.ceil(F.sum(F.octet_length("text")) / SHARED_BYTES).cast("int").alias("parts")).filter("parts > 1")
+    loose = frags
     frags = frags.join(near, "near", "left").withColumn("home", F.xxhash64("near", F.pmod(F.xxhash64("ckey", "off"), F.coalesce("parts", F.lit(1)))))
-    frags, blocks = _blocked(frags.drop("near", "parts"), "home", left, FRAGMENT_BYTES)
-    hits = materialize(suffix_matches(frags.drop("home"), blocks, left), "hits")
-    hits = hits.groupBy("ckey").agg(F.collect_list("starts").alias("starts"))  # a chunk has as many rows as fragments
+    blocked, blocks = _blocked(frags.drop("near", "parts"), "home", left, FRAGMENT_BYTES)
+    blocked = materialize(blocked.drop("home"), "blocks")
+    forget(loose)
+    hits = materialize(suffix_matches(blocked, blocks, left), "hits")
+    forget(blocked)
+    # a chunk has as many rows as fragments; written, so that the join below has plain exchanges, which can be split
+    hits = materialize(hits.groupBy("ckey").agg(F.collect_list("starts").alias("starts")), "hits")
     info = chunks.select("ckey", "owner").join(hits, "ckey", "left")
     per = occ.select("ckey", "doc_id", "dkey", "blk", "start", "windows").join(info, "ckey").filter("doc_id > owner OR starts IS NOT NULL")
     spans = per.select("blk", "dkey", "start", "windows", F.when(F.col("doc_id") > F.col("owner"), F.lit(None)).otherwise(F.col("starts")).alias("starts"))

@@ -475,7 +475,15 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
         d48 = _joint(a.astype(np.uint64), _dense(second))
         d49 = _joint(d48, c >> np.uint16(8))
         d50 = _joint(d49, c)
-        return _returned(t, [len(x) // 4 for x in t["a"].to_pylist()], **{k: v.astype(np.uint32) for k, v in (("d50", d50), ("d49", d49), ("d48", d48))})
+        # a shorter depth's name is the least name of its group, sent as the mostly small step back to it
+        out = {"d50": d50.astype(np.uint32)}
+        place = np.arange(int(d50.max()) + 1 if len(d50) else 0, dtype=np.uint32)
+        for name, code in (("d49", d49), ("d48", d48)):
+            group = np.empty(len(place), np.uint64)
+            group[d50] = code
+            first = np.maximum.accumulate(np.where(_runs(group), place, 0))
+            out[name] = (out["d50"] - first[d50]).astype(np.uint32)
+        return _returned(t, [len(x) // 4 for x in t["a"].to_pylist()], **out)
 
     def remaining(t, names):
         b = _Block(t)
@@ -484,7 +492,9 @@ def suffix_matches(frags: DataFrame, blocks: int, total: int) -> DataFrame:
         deep = {}
         for d in ("d50", "d49", "d48"):
             full = np.zeros(len(b.pos) + WIDTH, np.uint64)
-            full[at] = (part.astype(np.uint64) << np.uint64(32)) | _restore(part, names, d, np.uint32)
+            got = _restore(part, names, d, np.uint32)
+            got = got if d == "d50" else deep["d50"][at].astype(np.uint32) - got
+            full[at] = (part.astype(np.uint64) << np.uint64(32)) | got
             deep[d] = full
         i = b.windows()
         # by range, then class, then place: the class of an element follows from two counts

@@ -248,19 +248,22 @@ def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 2, id_col: st
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 5, shingle: int = 5, shingle_bits: int = 17, id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, one of each group of near copies: that with the smallest id.
 
-    Candidates are two independent fingerprints of the distinct words, one of them with at most max_bits
-    differing bits; a link
-    also needs at most shingle_bits differing bits of the five-word-shingle fingerprint, which holds
-    for similarities of 0.8 and more (unrelated texts differ in 32 +- 4). Rows with null or blank text
-    are kept, each for itself. Of rows with equal smallest ids one stays."""
+    Candidates are found by MinHash bands of the five-word shingles, see minhash. Rows with null or
+    blank text are kept, each for itself. Of rows with equal smallest ids one stays."""
+    from . import minhash
+
     rows = docs.withColumn("_words", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    named = rows.filter("_words").select(F.col(id_col).alias("_id"), F.col("text"))
-    fps = fingerprints(named, ("words", "wordsagain", f"shingle{shingle}"), "_id")
-    fps = fps.select("_id", F.array("fp_words", "fp_wordsagain").alias("fp"), F.col(f"fp_shingle{shingle}").alias("more"))
-    out = components(materialize(fps, "fps"), max_bits, shingle_bits, "_id")
+    named = rows.filter("_words").select(F.col(id_col).alias("_id"), F.xxhash64(id_col, "text").alias("_key"), F.col("text"))
+    fps = materialize(minhash.sketches(named, shingle), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "bands")]
+    nodes = materialize(fps.groupBy("node").agg(*firsts, F.min("_id").alias("least"), F.min("_key").alias("rep")), "nodes")
+    found = connected_components(minhash.candidate_links(nodes))
+    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    out = fps.select("_id", "node").join(named, "node")
     # which ids go: all but the least of their component (null ids only with a component that has one)
     drop = out.filter("component_id IS NOT NULL AND _id <> component_id").select(F.col("_id")).distinct()
     kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm import simhash
+from tidemark.llm import minhash, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -56,3 +56,41 @@ def test_near_copies_go(spark, pairs):
     assert set(range(len(pairs))) <= kept
     near = [i for i, p in enumerate(pairs) if jaccard(*p) >= 0.8]
     assert len(near) > 100 and not [i for i in near if i + 1000 in kept]
+
+
+def test_only_near_copies_go(spark, pairs):
+    """A pair below 0.8 stays whole, however close."""
+    rows = [(i + 1000 * c, p[c]) for i, p in enumerate(pairs) for c in (0, 1)]
+    kept = {x.doc_id for x in simhash.near_duplicates(table(spark, rows)).collect()}
+    far = [i for i, p in enumerate(pairs) if jaccard(*p) < 0.8]
+    assert len(far) > 100 and not [i for i in far if i + 1000 not in kept]
+
+
+def brute_groups(texts):
+    """The index of the least text of each text's component."""
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return set(label)
+
+
+@pytest.mark.parametrize("members", [512, 5])
+def test_chains_and_large_clusters(spark, monkeypatch, members):
+    """Chains of pairs around 0.8, in clusters of one block and of many."""
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    r, texts = random.Random(3), []
+    for g in range(3):
+        base = words(r, 120, 5000)
+        for k in range(25):
+            texts.append(" ".join(base))
+            # the similarity of neighbours in a chain is around 0.8
+            base = base[r.randint(4, 16) :]
+            base += words(r, 120 - len(base), 5000)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[k] for k in order]
+    got = {x.doc_id for x in simhash.near_duplicates(table(spark, list(enumerate(texts)))).collect()}
+    assert got == brute_groups(texts)

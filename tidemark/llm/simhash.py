@@ -251,7 +251,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 2, id_col: st
 def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, one of each group of near copies: that with the smallest id.
 
-    Candidates are found by MinHash bands of the five-word shingles, see minhash. Rows with null or
+    Near copies are linked by a Jaccard similarity of their five-word shingles of 0.8 and more, computed
+    exactly for candidates from MinHash bands, see minhash. Rows with null or
     blank text are kept, each for itself. Of rows with equal smallest ids one stays."""
     from . import minhash
 
@@ -260,10 +261,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id") -
     fps = materialize(minhash.sketches(named, shingle), "sketches")
     firsts = [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "bands")]
     nodes = materialize(fps.groupBy("node").agg(*firsts, F.min("_id").alias("least"), F.min("_key").alias("rep")), "nodes")
-    found = connected_components(minhash.candidate_links(nodes))
-    named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = fps.select("_id", "node").join(named, "node")
+    found = minhash.near_components(nodes, named, shingle)
+    part = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = part.join(part.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    out = fps.select("_id", "node").join(part, "node")
     # which ids go: all but the least of their component (null ids only with a component that has one)
     drop = out.filter("component_id IS NOT NULL AND _id <> component_id").select(F.col("_id")).distinct()
     kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")

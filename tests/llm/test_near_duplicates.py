@@ -94,3 +94,14 @@ def test_chains_and_large_clusters(spark, monkeypatch, members):
     texts = [texts[k] for k in order]
     got = {x.doc_id for x in simhash.near_duplicates(table(spark, list(enumerate(texts)))).collect()}
     assert got == brute_groups(texts)
+
+
+def test_rows_that_share_an_id(spark):
+    """Each row goes or stays by its own text."""
+    r = random.Random(9)
+    a, b, c = (words(r, 200, 50000) for _ in range(3))
+    near = lambda x: " ".join([*x, "more"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (2, ""), (3, " ".join(c)), (3, near(c)), (3, near(c))]
+    got = [(x.doc_id, x.text) for x in simhash.near_duplicates(table(spark, rows)).collect()]
+    assert len(got) == 4 and {(1, " ".join(a)), (2, " ".join(b)), (2, "")} <= set(got)
+    assert sum(i == 3 for i, _ in got) == 1

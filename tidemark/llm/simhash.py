@@ -252,26 +252,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id") -
     """The rows of docs, one of each group of near copies: that with the smallest id.
 
     Near copies are linked by a Jaccard similarity of their five-word shingles of 0.8 and more, computed
-    exactly for candidates from MinHash bands, see minhash. Rows with null or
-    blank text are kept, each for itself. Of rows with equal smallest ids one stays."""
+    exactly for candidates from MinHash bands, see minhash. Rows go by a key of id and text, so that
+    rows that share an id are judged each by its text; of those with the smallest id one stays. Rows
+    with null or blank text or null id are kept."""
     from . import minhash
 
     rows = docs.withColumn("_words", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     named = rows.filter("_words").select(F.col(id_col).alias("_id"), F.xxhash64(id_col, "text").alias("_key"), F.col("text"))
     fps = materialize(minhash.sketches(named, shingle), "sketches")
     firsts = [F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "bands")]
-    nodes = materialize(fps.groupBy("node").agg(*firsts, F.min("_id").alias("least"), F.min("_key").alias("rep")), "nodes")
+    # the row that stays; null ids name none
+    row = F.struct("_id", "_key")
+    least = F.min(F.when(F.col("_id").isNotNull(), row)).alias("least")
+    nodes = materialize(fps.groupBy("node").agg(*firsts, least, F.min("_key").alias("rep")), "nodes")
     found = minhash.near_components(nodes, named, shingle)
     part = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    part = part.join(part.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = fps.select("_id", "node").join(part, "node")
-    # which ids go: all but the least of their component (null ids only with a component that has one)
-    drop = out.filter("component_id IS NOT NULL AND _id <> component_id").select(F.col("_id")).distinct()
-    kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
-    again = out.groupBy("_id").count().filter("count > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_again"))
+    part = part.join(part.groupBy("component").agg(F.min("least").alias("stays")), "component").select("node", "stays")
+    # rows with a null id stay
+    drop = fps.join(part, "node").filter(F.col("_id").isNotNull() & (row != F.col("stays"))).select("_key").distinct()
+    key = F.xxhash64(docs[id_col], docs["text"])
+    kept = docs.join(drop, key == drop["_key"], "left_anti")
+    again = fps.filter("_id IS NOT NULL").groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again"))
     if again.isEmpty():
         return kept
-    # rows that share an id: of those with the same text one stays
-    same = kept[id_col] == again["_again"]
+    # of equal rows one stays
+    same = F.xxhash64(kept[id_col], kept["text"]) == again["_again"]
     once = kept.join(again, same, "left_semi").dropDuplicates([id_col, "text"])
     return kept.join(again, same, "left_anti").unionByName(once)

@@ -14,6 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, materialize
+
 #: (verdict, host, path): the given rules; host without leading dot, path with its slash.
 GIVEN_RULES = (
     ("block", "com", "/en/"),
@@ -29,8 +31,6 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 25
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
-#: Mined rules kept at most, by confidence, then support: the index that is broadcast is bounded.
-MAX_RULES = 1000
 BAD = "label=block"
 
 
@@ -72,7 +72,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT) -> DataFrame:
-    """labelled: (id, tokens, bad boolean). Rules (items array, confidence, support), at most MAX_RULES."""
+    """labelled: (id, tokens, bad boolean). Rules (items array, confidence, support), none implied by a shorter one."""
     h = F.xxhash64("id", F.lit(3))
     bound = labelled.select(h.alias("h")).orderBy("h").limit(TRAIN_ROWS).agg(F.max("h")).first()[0]
     sample = labelled.limit(0) if bound is None else labelled.filter(h <= bound)
@@ -83,27 +83,29 @@ def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_
             return labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support double")
         model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(items)
         rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-        kept = rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(MAX_RULES)
-        # bounded by MAX_RULES; the rules become constants of the plan
-        found = [(sorted(r["antecedent"]), r["confidence"], r["support"]) for r in kept.select("antecedent", "confidence", "support").collect()]
+        passing = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
     finally:
         items.unpersist()
     # a rule that a shorter rule implies adds nothing
-    found.sort(key=lambda r: len(r[0]))
-    least: list[tuple] = []
-    for r in found:
-        if not any(set(k[0]) <= set(r[0]) for k in least):
-            least.append(r)
-    return labelled.sparkSession.createDataFrame(least, "items array<string>, confidence double, support double")
+    shorter = rule_index(passing).withColumnRenamed("items", "_less")
+    implied = passing.select("items", F.explode("items").alias("token")).join(shorter, "token")
+    implied = implied.filter((F.size("_less") < F.size("items")) & (F.size(F.array_except("_less", "items")) == 0)).select("items").distinct()
+    least = materialize(passing.join(implied, "items", "left_anti"), "rules")
+    forget(passing)
+    return least
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls: (url, tokens). The distinct urls that hold all items of some rule, by the inverted index."""
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(token, items): each rule under its rarest token."""
     freq = rules.select(F.explode("items").alias("token")).groupBy("token").count()
-    rarest = rules.withColumn("_r", F.monotonically_increasing_id()).select("_r", "items", F.explode("items").alias("token")).join(freq, "token")
-    index = rarest.groupBy("_r").agg(F.min_by("token", F.struct("count", "token")).alias("token"), F.first("items").alias("items")).select("token", "items")
+    return rules.select("items", F.explode("items").alias("token")).join(freq, "token").groupBy("items").agg(F.min_by("token", F.struct("count", "token")).alias("token")).select("token", "items")
+
+
+def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls: (url, tokens). The distinct urls that hold all items of some rule, by the inverted index,
+    which Spark broadcasts if it is small."""
     probe = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    hits = probe.join(F.broadcast(index), "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+    hits = probe.join(rule_index(rules), "token").filter(F.size(F.array_except("items", "tokens")) == 0)
     return hits.select("url").distinct()
 
 

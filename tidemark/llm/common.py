@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, or in tests a temporary folder."""
+    """The shared folder for scratch tables: spark.checkpoint.dir. A single-machine session without that
+    setting, as in tests, gets a temporary folder; on a cluster its absence is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Spark then drops a query's shuffle files when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a Parquet table in the shared scratch folder and return a reader of it.
 
@@ -37,12 +46,18 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     _forget_at_exit(spark, path)
-    # shuffle files of a finished plan go when the driver's garbage is collected
-    spark._jvm.System.gc()
     return out
 
 
@@ -65,17 +80,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete the scratch tables behind `frames`, which nothing reads any more, and let Spark drop
-    the shuffle files of plans that were already collected."""
-    spark = None
+    """Delete the scratch tables behind `frames`, which nothing reads any more."""
     for df in frames:
         path = getattr(df, "_scratch", None)
         if path:
-            spark = df.sparkSession
-            _delete(spark, path)
+            _delete(df.sparkSession, path)
             _paths[:] = [p for p in _paths if p[1] != path]
-    if spark is not None:
-        spark._jvm.System.gc()
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted: np.unique hashes integers, which takes far longer than sorting them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def trim() -> None:

@@ -359,8 +359,11 @@ def planted(seed, alphabet="ab cdé", docs=40):
 def test_suffix_dedup(spark, monkeypatch, seed, block):
     """Small blocks and buckets, so that every step crosses blocks and sort ranges."""
     monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffixdedup, "FRAGMENT_BYTES", block)
+    monkeypatch.setattr(suffixdedup, "LONGEST", max(64, block // 8))
     monkeypatch.setattr(suffixdedup, "LEAST_BUCKETS", 5)
     rows = planted(seed)
+    rows += [rows[5]] * 40 + [(None, "null id " * 20)] * 40  # one row over and over
     df = table(spark, [(i, t, "s") for i, t in rows])
     assert sorted((tuple(r) for r in suffixdedup.remove_repeats(df).collect()), key=str) == brute_repeats(rows)
 
@@ -374,6 +377,20 @@ def test_suffix_dedup_data_and_edges(spark, docs, texts, odd):
     assert {r.doc_id: r.text for r in cut.collect()}[1] is None
 
 
+def test_ranges_of_frequent_beginnings():
+    """Keys that share their first words are dealt by the later ones, as a search over whole keys deals them."""
+    import bisect
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cuts = sorted({tuple(r) for r in rng.integers(0, 3, (40, 6)).tolist()})
+    keys = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    got = suffixdedup._ranges(np.array(cuts, np.uint64), lambda j: keys[:, j])
+    assert got.tolist() == [bisect.bisect_right(cuts, tuple(k)) for k in keys.tolist()]
+    assert suffixdedup._ranges(np.zeros((0, 6), np.uint64), lambda j: keys[:, j]).tolist() == [0] * 500
+
+
 def test_slab_edges_do_not_matter():
     import numpy as np
 

@@ -27,10 +27,11 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-HIDDEN = frozenset("select option button object svg math head datalist canvas audio video".split())
+HIDDEN = frozenset("select option button svg head datalist".split())
 #: An opening tag of the key ends an open element of the value, up to the nearest of its bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+# every repetition is possessive, so that a truncated tag or an unclosed quote is read once
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -40,7 +41,10 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.features, self.text, self.marked = [-1], [("page", "page")], [None], [False]
-        stack = [("", 0)]  # open elements and their nodes; an inline element has its block's
+        # open elements: name, node (an inline element has its block's), and where the nearest block is
+        stack = [("", 0, 0)]
+        opened: list[dict[str, int]] = [{}]  # open inline elements by name, for each open block
+        blocks: dict[str, int] = {}  # open blocks by name
         buffer: list[str] = []
         linked = 0  # characters within links
         links = hidden = 0
@@ -52,24 +56,35 @@ class Page:
                 words = " ".join("".join(buffer).split())
                 if words:
                     share = min(linked / len(words), 1.0)
-                    self._add(stack[-1][1], ("text", f"{stack_tag()}>text", f"len{min(len(words).bit_length(), 10)}", f"link{round(share * 3)}", f"end{words[-1] in '.!?:…'}"), words)
+                    self._add(stack[-1][1], ("text", f"{block()}>text", f"len{min(len(words).bit_length(), 10)}", f"link{round(share * 3)}", f"end{words[-1] in '.!?:…'}"), words)
                 buffer.clear()
             linked = 0
 
-        def stack_tag():
-            for name, _ in reversed(stack):
-                if name in BLOCK:
-                    return name
-            return ""
+        def block():
+            return stack[stack[-1][2]][0]
+
+        def push(name: str, node: int):
+            if name in BLOCK:
+                stack.append((name, node, len(stack)))
+                blocks[name] = blocks.get(name, 0) + 1
+                opened.append({})
+            else:
+                stack.append((name, node, stack[-1][2]))
+                opened[-1][name] = opened[-1].get(name, 0) + 1
 
         def pop(to: int):
             nonlocal links, hidden
-            for name, _ in stack[to:]:
+            if stack[-1][2] >= to:
+                flush()
+            while len(stack) > to:
+                name, _, _ = stack.pop()
                 links -= name == "a"
                 hidden -= name in HIDDEN
-            if any(name in BLOCK for name, _ in stack[to:]):
-                flush()
-            del stack[to:]
+                if name in BLOCK:
+                    blocks[name] -= 1
+                    opened.pop()
+                else:
+                    opened[-1][name] -= 1
 
         while True:
             m = _TOKEN.search(source, at)
@@ -87,15 +102,15 @@ class Page:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        pop(k)
-                        break
-                    if name not in BLOCK and stack[k][0] in BLOCK:
-                        break
+                # an inline element ends within its block only
+                if (blocks if name in BLOCK else opened[-1]).get(name):
+                    k = stack[-1][2] if name in BLOCK else len(stack) - 1
+                    while stack[k][0] != name:
+                        k = stack[k - 1][2] if name in BLOCK else k - 1
+                    pop(k)
                 continue
             if name in RAW:
-                close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(source, at)
+                close = re.compile(f"</{re.escape(name)}\\b[^>]*+(?:>|\\Z)", re.I).search(source, at)
                 at = close.end() if close else len(source)
                 continue
             if name in VOID:
@@ -103,32 +118,25 @@ class Page:
                 if name == "hr":
                     flush()
                 continue
+            attrs = (m[3] if m[2] else m[6]) or ""
             if name in BLOCK:
                 if name in ENDS:
                     ends, bounds = ENDS[name]
-                    k = len(stack) - 1
-                    low = 0
+                    k, low = stack[-1][2], 0
                     while k > 0 and stack[k][0] not in bounds:
                         if stack[k][0] in ends:
                             low = k
-                        k -= 1
+                        k = stack[k - 1][2]
                     if low:
                         pop(low)
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            pop(k)
-                            break
-                        if stack[k][0] in BLOCK and stack[k][0] not in ("p",):
-                            break
+                elif block() == "p":
+                    pop(stack[-1][2])
                 flush()
-                attrs = m[3] if m[2] else m[6]
-                node = self._add(stack[-1][1], *self._element(name, stack_tag(), attrs or ""))
-                stack.append((name, node))
-            else:
+                push(name, self._add(stack[-1][1], *self._element(name, block(), attrs)))
+            elif name not in ("svg", "math") or not attrs.rstrip().endswith("/"):
                 links += name == "a"
                 hidden += name in HIDDEN
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         flush()
 
     def _add(self, parent: int, features: tuple, text: str | None = None, marked: bool = False) -> int:
@@ -152,7 +160,7 @@ class Page:
         return got
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     """Pages in many layouts. Elements with data-content hold content, other text is none."""
     r = random.Random(seed)
     chrome_words = {
@@ -205,7 +213,11 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         return wrap(kind, ["div", "ul"], " ".join(link() for _ in range(4)))
 
     def content():
+        # some sites set paragraphs as div elements, under names of their own
+        par, own = r.choice(["p"] * 4 + ["div"]), r.choice(["", f' class="{r.choice(vocabulary)}"'])
         out = [f"<h1 data-content>{say(2, 9)}</h1>"] if r.random() < 0.8 else []
+        if out and par == "div":
+            out = [f"<div{own} data-content>{out[0]}</div>"]
         if r.random() < 0.15:
             out = [f"<header data-content>{''.join(out)}<p>{say(3, 12)}</p></header>"]
         for _ in range(r.randint(1, 14)):
@@ -213,7 +225,10 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
             end = r.choice([".", ".", ".", "!", "?", "", ","])
             if k < 0.78:
                 words = say(1, r.choice([4, 20, 120])) + (f" {link()} {say(1, 6)}" if r.random() < 0.1 else "")
-                out.append(r.choice([f"<p data-content>{words}{end}</p>", f"<p data-content><b>{words}{end}<br>"] if r.random() < 0.3 else [f"<p data-content>{words}{end}</p>"]))
+                if par == "div":
+                    out.append(f"<div{own} data-content>{words}{end}</div>")
+                else:
+                    out.append(r.choice([f"<p data-content>{words}{end}</p>", f"<p data-content><b>{words}{end}<br>"] if r.random() < 0.3 else [f"<p data-content>{words}{end}</p>"]))
             elif k < 0.84:
                 out.append(f"<h{r.choice('234')} data-content>{say(1, 6)}</h{2}>".replace("</h2>", ""))
                 out[-1] += f"</{out[-1][1:3]}>"
@@ -236,7 +251,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
             return f"<article{a} data-content>{inner}</article>"
         if how < 0.8:
             return f"<main data-content>{inner}</main>"
-        return f'<div {r.choice(["class", "id"])}="{r.choice(body_words)}" data-content>{inner}</div>'
+        return f'<div {r.choice(["class", "id"])}="{r.choice(body_words + vocabulary[:8])}" data-content>{inner}</div>'
 
     pages = []
     for _ in range(n):
@@ -247,7 +262,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         r.shuffle(after)
         inner = "".join(before) + content() + "".join(after)
         if r.random() < 0.2:
-            inner = f'<div class="{r.choice(["wrapper", "container", "page"])}">{inner}</div>'
+            inner = f'<div class="{r.choice(["wrapper", "container", "page", *vocabulary[8:12]])}">{inner}</div>'
         assert kinds
         pages.append(f"<html><head><title>{say(2, 8)}</title></head><body>{inner}</body></html>")
     return pages
@@ -332,7 +347,11 @@ def main_text(source: str | None, model: dict) -> str:
 
 def extract_main_text(pages: DataFrame, model: dict | None = None, id_col: str = "page_id") -> DataFrame:
     """(page_id, url, text, n_chars) for each row, repeated rows and null ids included. Without a model
-    it is fitted on `labelled_pages`; its size is bounded by their vocabulary."""
+    it is fitted on `labelled_pages`; its size is bounded by their vocabulary.
+
+    Null and empty html give an empty text, n_chars 0; other columns play no part. A page is read once
+    whatever its length, nesting or truncation: a tag cut short by the end of the page ends there, an
+    element never closed ends with the page. Text of a page is held in one task, as its row is."""
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(labelled_pages()))
     rows = pages.select(F.col(id_col).alias("_id"), F.col("url").alias("_url"), F.col("html").alias("_html"))
     schema = StructType([StructField(id_col, rows.schema["_id"].dataType), StructField("url", rows.schema["_url"].dataType), StructField("text", StringType()), StructField("n_chars", LongType())])

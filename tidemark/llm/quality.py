@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule has metrics (columns computed from the text) and a rejecting condition. A bounded sample
-tells each rule's cost (seconds a row) and selectivity (share rejected); rules run in falling order of
-rejection per cost, and a metric is computed only for rows that no earlier rule rejected. The order
-changes the work, never the verdict: a row is kept if no rule rejects it.
+Each rule has metrics (columns computed from the text) and a rejecting condition. A random sample of
+about SAMPLE_ROWS rows of the whole table tells each rule's cost (seconds a row, without what a job
+costs that computes nothing) and selectivity (share rejected); rules run in falling order of rejection
+per cost, and a metric is computed only for rows that no earlier rule rejected. The order changes the
+work, never the verdict: a row is kept if no rule rejects it. Where the metrics themselves are asked
+for, as in `quality_report`, they are computed for all rows and the cascade only orders conditions.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CHARS
 
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows of the sample on which costs and selectivities are estimated, about, and how often each is timed.
 SAMPLE_ROWS = 400
+REPEATS = 3
 SYMBOLS = "#*$%&|<>"
 
 
@@ -113,27 +116,50 @@ def with_metric(df: DataFrame, metric: Metric, alive: Column | None = None, have
     return df.drop(*helpers)
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules in falling order of rejection per cost, as a bounded sample shows them."""
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).limit(rows).cache()
+def measure_rules(texts: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[float, float]]:
+    """texts: one column of text that is not null. (share rejected, seconds a row) of each rule; empty
+    for an empty table. Each rule is timed in one task over REPEATS copies of the sample, the better of
+    two runs, so that neither compilation nor the start of a job counts."""
+    total = texts.count()
+    if not total:
+        return []
+    sample = texts.sample(min(1.0, rows / total), seed=7).repartition(1).cache()
     try:
         n = sample.count()
-        if not n:
-            return list(rules)
-        gain = []
-        for k, rule in enumerate(rules):
-            df, have = sample, frozenset()
+        if not n:  # a small table may be missed whole
+            return measure_rules(texts, rules, total)
+        copies = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+        def timed(df, condition):
+            best, out = float("inf"), 0
+            for _ in range(2):
+                began = time.perf_counter()
+                out = df.agg(F.count_if(condition)).first()[0]
+                best = min(best, time.perf_counter() - began)
+            return out / (REPEATS * n), best
+
+        nothing = timed(copies, F.col("_copy") < 0)[1]
+        got = []
+        for rule in rules:
+            df, have = copies, frozenset()
             for m in rule.metrics:
                 df = with_metric(df, m, None, have)
                 have |= {m.name}
-            began = time.perf_counter()
-            out = df.agg(F.count_if(F.expr(rule.rejects))).first()[0]
-            gain.append((-(out + 0.5) / (n + 1) / max(time.perf_counter() - began, 1e-4), k))
-        return [rules[k] for _, k in sorted(gain)]
+            share, seconds = timed(df, F.expr(rule.rejects))
+            got.append((share, max(seconds - nothing, 1e-4) / (REPEATS * n)))
+        return got
     finally:
         sample.unpersist()
 
 
+def order_rules(texts: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[int]:
+    """Places of the rules in falling order of rejection per cost; a rule that rejected nothing counts
+    as half a row of the sample."""
+    measured = measure_rules(texts, rules, rows)
+    gain = [-(share + 0.5 / rows) / seconds for share, seconds in measured] or [0.0] * len(rules)
+    return sorted(range(len(rules)), key=lambda k: (gain[k], k))
+
+
 def cascade(df: DataFrame, rules: list[Rule], kept: str = "kept", have: tuple[str, ...] = ()) -> DataFrame:
     """Adds the boolean `kept`, applying rules in the given order. Columns named in `have` are metrics
     that the frame holds already; the others are computed where needed, and dropped."""
@@ -149,27 +175,35 @@ def cascade(df: DataFrame, rules: list[Rule], kept: str = "kept", have: tuple[st
     return df.drop(*added)
 
 
+def _texts(docs: DataFrame, text_col: str, **others: Column) -> DataFrame:
+    """The text, null as empty, and what else is carried, under names that only this module uses."""
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[c.alias(n) for n, c in others.items()])
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each
-    row. Null text has no words, so it fails. Repeated rows are judged alike; other columns play no part."""
-    rules = order_rules(docs, default_rules(text_col), text_col)
-    df = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    shown = (n_words(text_col), word_chars(text_col), n_symbols(text_col), n_dup_lines(text_col), n_repeat_words(text_col))
+    row. Null text has no words, so it fails. Repeated rows are judged alike; other columns play no
+    part, whatever their names; an empty table gives an empty result."""
+    rules = default_rules("_text")
+    order = order_rules(_texts(docs, text_col), rules)
+    df = _texts(docs, text_col, _id=F.col(id_col))
+    shown = (n_words("_text"), word_chars("_text"), n_symbols("_text"), n_dup_lines("_text"), n_repeat_words("_text"))
     for m in shown:
         df = with_metric(df, m)
     names = [m.name for m in shown]
-    df = cascade(df, rules, have=tuple(names))
-    base = F.expr(" OR ".join(f"({r.rejects})" for r in base_rules(text_col)))
-    return df.select(id_col, *names, base.alias("base_failed"), "kept")
-
-
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with all their columns."""
-    rules = order_rules(docs, default_rules(text_col), text_col)
-    work = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    ordered = {r.name: k for k, r in enumerate(rules)}
-    rules = sorted(default_rules("_text"), key=lambda r: ordered[r.name])
-    judged = cascade(work, rules, kept="_kept")
+    df = cascade(df, [rules[k] for k in order], have=tuple(names))
+    base = F.expr(" OR ".join(f"({r.rejects})" for r in base_rules("_text")))
+    return df.select(F.col("_id").alias(id_col), *names, base.alias("base_failed"), "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The rows that no rule rejects, with all their columns, whatever their names and values. Rules
+    read the column `_text`. Null and empty texts have no words and go; equal rows go or stay together;
+    an empty table stays empty; a very long text is judged whole, in its row's task."""
+    rules = default_rules("_text") if rules is None else rules
+    order = order_rules(_texts(docs, text_col), rules)
+    work = _texts(docs, text_col, _row=F.struct(*[docs[c] for c in docs.columns]))
+    judged = cascade(work, [rules[k] for k in order], kept="_kept")
     # the optimizer would move the filter below the projections and write out their steps inside each
     # other's lambdas, evaluating an array once for each element; a non-deterministic column stops it
-    return judged.withColumn("_stop", F.monotonically_increasing_id()).filter("_kept AND _stop >= 0").select(*docs.columns)
+    return judged.withColumn("_stop", F.monotonically_increasing_id()).filter("_kept AND _stop >= 0").select("_row.*")

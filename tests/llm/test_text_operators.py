@@ -106,17 +106,17 @@ def test_mixing(spark, docs, monkeypatch):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(mixing, "EXACT_DRAWS", 3)
-    got = mixing.mix_documents(docs, keep=("source",)).collect()
+    figures = lambda df: mixing.mix_documents(df, whole_rows=True).select("_row.doc_id", "_row.source", "_mix").collect()
+    got = figures(docs)
     check_mix(got, rows)
     shards = Counter(d.shard for r in got for d in r["_mix"].draws)
     assert len(shards) > 4 and max(shards.values()) < 3 * min(shards.values())
-    again = mixing.mix_documents(docs.repartition(7), keep=("source",)).collect()
+    again = figures(docs.repartition(7))
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def test_mixing_edges(spark, odd):
-    check_mix(mixing.mix_documents(odd, keep=("source",)).collect(), ODD)
+    check_mix(mixing.mix_documents(odd, whole_rows=True).select("_row.doc_id", "_row.source", "_mix").collect(), ODD)
     assert mixing.mix_documents(odd.limit(0)).collect() == []
     assert [r.taken for r in mixing.mix_documents(table(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
     mixed = mixing.mixed_rows(odd)

@@ -43,7 +43,9 @@ FINE_GRAM = 40
 #: One in so many anchors begins a new chunk, and so does every LONGEST-th window of a run.
 CUT = 16
 LONGEST = 1 << 16
+#: Blocks hold about BLOCK_BYTES; there are LEAST_BLOCKS at least, so that small tables use many tasks.
 BLOCK_BYTES = 4 << 20
+LEAST_BLOCKS = 24
 #: Blocks of the sort, whose arrays take some 60 bytes for each byte of text.
 FRAGMENT_BYTES = 2 << 20
 #: Hash buckets and sort ranges: at least LEAST_BUCKETS, and so many that each holds about BUCKET_ITEMS.
@@ -252,7 +254,7 @@ def _candidate_runs(buf, off, found: np.ndarray, buckets: int, cut: int, gram: i
 
 def _block(key: str, total: int, salt=None):
     """The number of a key's block, of blocks of about BLOCK_BYTES each; a salt of 0 changes nothing."""
-    n = max(1, -(-total // BLOCK_BYTES))
+    n = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
     return F.pmod(F.xxhash64(F.col(key), F.lit(9) + (F.lit(0) if salt is None else salt)), F.lit(n)).cast("int")
 
 

@@ -107,6 +107,10 @@ def trim() -> None:
         pass
 
 
+#: Links that a task of a components round handles at least, where there are so many.
+LINKS = 50_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star.
 
@@ -115,9 +119,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     distances, minima are combined before the shuffle, and the joins are plain sort-merge joins that
     adaptive execution may split, so a node with very many links does not end in one task.
     """
-    spark = edges.sparkSession
-    if not edges._jdf.schema().size():
-        raise ValueError("edges need two columns")
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
@@ -125,12 +126,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = cur.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if before["n"] == 0:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        # few links are dealt to few tasks, whatever the number of shuffle partitions
+        few = max(4, before["n"] // LINKS)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the joins have plain exchanges on either side, which can be split
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(few), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct(), "large")
-        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialize(large.filter("u <> v").distinct().coalesce(few), "large")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), "least")
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -138,7 +141,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .filter("u <> v")
             .distinct()
         )
-        nxt = materialize(small, "edges")
+        nxt = materialize(small.coalesce(few), "edges")
         after = nxt.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         forget(cur, least, large, down)
         cur = nxt

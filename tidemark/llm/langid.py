@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased, characters that are no letters become one space, and the 1-, 2- and 3-grams
-are hashed into BUCKETS classes. Counts are added up by Spark; the log-probability matrix (languages
-x BUCKETS, bounded by MAX_LANGS) is broadcast and batches are scored in numpy.
+are hashed into BUCKETS classes. Counts are added up by Spark; the log-probability matrix is broadcast,
+128 KB for each language that the labels name, and batches are scored in numpy as a sparse matrix of
+counts (text x bucket) times that matrix.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ ORDERS = (1, 2, 3)
 #: The classifier is fitted on about so many labelled rows of each language, or all if there are fewer:
 #: those whose hashed ids lie below that share of the range.
 TRAIN_ROWS = 4_000
-#: Languages learned at most, the most frequent first.
-MAX_LANGS = 512
-#: Code points scored at once.
+#: Code points handled at once, and numbers of one slab of the sparse product.
 CHUNK = 400_000
+SLAB = 1 << 22
 _tables: list[np.ndarray] = []
 
 
@@ -37,14 +37,6 @@ def _lower_letters() -> np.ndarray:
     return _tables[0]
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all texts in one array, a text opened and closed by a space, and the texts' starts."""
-    joined = "".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass")
-    c = _lower_letters()[np.frombuffer(joined, dtype="<u4")]
-    ends = np.cumsum([len(t) + 2 for t in texts])
-    return c, ends - [len(t) + 2 for t in texts]
-
-
 def _grams(c: np.ndarray, order: int) -> np.ndarray:
     """Bucket of the n-gram that begins at each place; -1 for a gram that is only spaces."""
     n = len(c) - order + 1
@@ -59,18 +51,39 @@ def _grams(c: np.ndarray, order: int) -> np.ndarray:
 
 
 def _chunks(texts: list[str]):
-    """Lists of (row, text part); where a text of over CHUNK code points is cut, a word is taken to end."""
-    part, size = [], 0
+    """Lists of (row, part, code points before it that it repeats): each text with a space on either
+    side, cut into parts of CHUNK code points, of which all but the first repeat the last ones before."""
+    out, size, most = [], 0, max(ORDERS) - 1
     for i, t in enumerate(texts):
-        for at in range(0, max(len(t), 1), CHUNK):
-            piece = t[at : at + CHUNK]
-            part.append((i, piece))
-            size += len(piece)
+        t = f" {t} "
+        for at in range(0, len(t), CHUNK):
+            before = min(at, most)
+            out.append((i, t[at - before : at + CHUNK], before))
+            size += min(CHUNK, len(t) - at)
             if size >= CHUNK:
-                yield part
-                part, size = [], 0
-    if part:
-        yield part
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _features(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and bucket of every gram of the parts, each counted where it ends, and the letters of each part."""
+    c = _lower_letters()[np.frombuffer("".join(p for _, p, _ in parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    size = np.array([len(p) for _, p, _ in parts])
+    row, before = np.array([i for i, _, _ in parts], dtype=np.int64), np.array([b for _, _, b in parts])
+    part = np.repeat(np.arange(len(parts)), size)
+    place = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
+    rows, buckets = [], []
+    for order in ORDERS:
+        g = _grams(c, order)
+        at = part[: len(g)]
+        own = place[: len(g)] + order - 1
+        keep = (g >= 0) & (own < size[at]) & (own >= before[at])
+        rows.append(row[at[keep]])
+        buckets.append(g[keep])
+    letters = np.bincount(part[(c != 32) & (place >= before[part])], minlength=len(parts))
+    return np.concatenate(rows), np.concatenate(buckets), letters
 
 
 def train(rows: DataFrame, frequency: dict[str, int]) -> tuple[list[str], np.ndarray]:
@@ -81,22 +94,20 @@ def train(rows: DataFrame, frequency: dict[str, int]) -> tuple[list[str], np.nda
         total: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in _chunks(texts):
-                c, starts = _codes([p for _, p in part])
-                for order in ORDERS:
-                    g = _grams(c, order)
-                    ends = np.append(starts[1:], len(c))
-                    for (i, _), lo, hi in zip(part, starts, ends):
-                        own = g[lo : max(lo, hi - order + 1)]
-                        acc = total.setdefault(langs[i], np.zeros(BUCKETS, dtype=np.int64))
-                        acc += np.bincount(own[own >= 0], minlength=BUCKETS)
+            names = sorted(set(langs))
+            code = np.array([names.index(x) for x in langs], dtype=np.int64)
+            for parts in _chunks(texts):
+                rows, buckets, _ = _features(parts)
+                sums = np.bincount(code[rows] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                for name, more in zip(names, sums):
+                    total[name] = total[name] + more if name in total else more
         out = [(lang, int(k), int(v[k])) for lang, v in total.items() for k in np.flatnonzero(v)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64()))], names=["lang", "bucket", "n"])
 
     sums = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
-    for lang, k, n in sums.toLocalIterator():  # at most MAX_LANGS x BUCKETS rows
+    for lang, k, n in sums.toLocalIterator():  # at most BUCKETS rows a language
         found.setdefault(lang, np.zeros(BUCKETS))[k] = n
     langs = sorted(found)
     if not langs:
@@ -110,7 +121,7 @@ def train(rows: DataFrame, frequency: dict[str, int]) -> tuple[list[str], np.nda
 def sample_rows(docs: DataFrame, id_col: str, rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
     """A sample by language, and the languages' frequencies. Ids are hashed to [0, 1); a language's
     share is rows / frequency, so a frequent language does not crowd out a rare one."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    counts = docs.groupBy("lang").count()
     frequency = {r["lang"]: r["count"] for r in counts.collect()}
     if not frequency:
         return docs.limit(0), {}
@@ -138,24 +149,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             like = np.zeros((len(texts), len(langs)))
             grams = np.zeros(len(texts))
             letters = np.zeros(len(texts), dtype=np.int64)
-            for part in _chunks(texts):
-                c, starts = _codes([p for _, p in part])
-                at = np.array([i for i, _ in part])
-                np.add.at(letters, at, np.add.reduceat((c != 32).astype(np.int64), starts))
-                if not langs:
+            for parts in _chunks(texts):
+                rows, buckets, found = _features(parts)
+                np.add.at(letters, [i for i, _, _ in parts], found)
+                grams += np.bincount(rows, minlength=len(texts))
+                if not langs or not len(rows):
                     continue
-                ends = np.append(starts[1:], len(c))
-                for order in ORDERS:
-                    g = _grams(c, order)
-                    if not len(g):
-                        continue
-                    keep = g >= 0
-                    for k in range(1, order):  # grams that reach into the next text
-                        keep[ends[:-1] - k] = False
-                    w = np.where(keep[:, None], logp[np.maximum(g, 0)], 0)
-                    cut = np.minimum(starts, len(w) - 1)
-                    np.add.at(like, at, np.add.reduceat(w, cut, axis=0, dtype=np.float64))
-                    np.add.at(grams, at, np.add.reduceat(keep.astype(np.float64), cut))
+                # the sparse matrix: (row, bucket), in order, and its count
+                key = np.sort(rows * BUCKETS + buckets)
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                n = np.diff(np.append(at, len(key)))
+                row, bucket = key[at] // BUCKETS, key[at] % BUCKETS
+                step = max(1, SLAB // len(langs))
+                for k in range(0, len(at), step):
+                    s = slice(k, k + step)
+                    first = np.flatnonzero(np.concatenate([[True], row[s][1:] != row[s][:-1]]))
+                    like[row[s][first]] += np.add.reduceat(logp[bucket[s]] * n[s, None], first, axis=0, dtype=np.float64)
             if langs:
                 like += logp[BUCKETS]
                 best = like.argmax(axis=1)
@@ -174,7 +183,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Fit on rows with crc32(id) mod 5 <> 0 and a language, predict all rows.
 
     Returns (id, held_out, lang_pred, score). A null id is neither learned from nor held out. Only the
-    text of a row takes part in its prediction."""
+    text of a row takes part in its prediction: repeated rows are predicted alike, a null text or one
+    without letters is `und`, a very long one is read whole, CHUNK code points at a time. An empty table
+    gives an empty result. Other columns play no part, whatever their names."""
     fold = F.crc32(F.col(id_col).cast("string")) % 5
     seen = docs.filter((fold != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "text", "lang")
     model = train(*sample_rows(seen, id_col))

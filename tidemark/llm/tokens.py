@@ -16,8 +16,10 @@ import pyarrow as pa
 
 #: Pieces that a worker remembers at most, unless told otherwise; others are encoded but not remembered.
 MEMO = 300_000
-#: Texts are handled in groups of about so many code points, whatever the number of rows of a batch.
-GROUP_CHARS = 2_000_000
+#: Texts are handled in groups of about so many bytes, whatever the number of rows of a batch, and
+#: pieces go to the library in batches of about so many.
+GROUP_BYTES = 2_000_000
+BATCH_BYTES = 1 << 20
 _ASCII_OPEN = frozenset(string.punctuation)
 
 
@@ -128,8 +130,15 @@ class PieceEncoder:
                 fresh[p] = got = self._simple(p)
                 if got is None:
                     hard.append(p)
-        for k in range(0, len(hard), 4096):
-            part = hard[k : k + 4096]
+        # batches of about equal bytes, a longer piece by itself
+        sizes = [len(p.encode()) for p in hard]
+        start = 0
+        while start < len(hard):
+            stop, size = start + 1, sizes[start]
+            while stop < len(hard) and size + sizes[stop] <= BATCH_BYTES:
+                size += sizes[stop]
+                stop += 1
+            part, start = hard[start:stop], stop
             fresh.update(zip(part, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         return fresh
 
@@ -194,20 +203,8 @@ def encoder(path: str, style: str, kind: str, memo: int = MEMO) -> PieceEncoder:
     return _encoders[key]
 
 
-def groups(texts: list[str]):
-    """Consecutive slices of about GROUP_CHARS code points, so that memory follows bytes, not rows."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def slices(texts: pa.Array, size: int = 8_000_000):
-    """The same for an Arrow array, by bytes."""
+    """Consecutive slices of an Arrow array of about `size` bytes, so that memory follows bytes, not rows."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -222,7 +219,9 @@ def slices(texts: pa.Array, size: int = 8_000_000):
 
 def token_counts(docs, tokenizer: str = "byte_bpe_50k.json", style: str = "byte", limit: int = 512, id_col: str = "doc_id", text_col: str = "text"):
     """(id, n_bytes, n_tokens, over_limit) for each row; null text counts as empty, repeated rows and
-    null ids stay as they are, other columns are ignored. Only lengths leave the Arrow function."""
+    null ids stay as they are, other columns are ignored, an empty table gives an empty result. A very
+    long text is cut into pieces at safe boundaries; a piece without any goes to the library whole, and so
+    does a text with a special token's string. Only lengths leave the Arrow function."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -231,14 +230,16 @@ def token_counts(docs, tokenizer: str = "byte_bpe_50k.json", style: str = "byte"
     out = StructType([StructField(id_col, kind), StructField("n_bytes", LongType()), StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def count(batches):
+        import pyarrow.compute as pc
+
         enc = encoder(public_path(tokenizer), style, "length")
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
+            texts = pc.fill_null(b.column(1), "")
             n = []
-            for lo, hi in groups(texts):
-                n += enc.encode(texts[lo:hi])
+            for lo, hi in slices(texts, GROUP_BYTES):
+                n += enc.encode(texts.slice(lo, hi - lo).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 

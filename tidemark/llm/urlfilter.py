@@ -27,10 +27,13 @@ GIVEN_RULES = (
 #: Labelled rows mined at most: those with the smallest hashed ids.
 TRAIN_ROWS = 100_000
 MIN_SUPPORT = 0.002
-#: A frequent set occurs in so many labelled rows at least, however few there are.
+#: A frequent set occurs in so many labelled rows at least, beside MIN_SUPPORT as a share of them.
 MIN_COUNT = 25
-MIN_CONFIDENCE = 0.8
+#: A rule's URLs are bad more often than not, MIN_LIFT times as often as any, and by MIN_DEVIATIONS
+#: standard deviations more often than chance would have it for so many rows.
+MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
+MIN_DEVIATIONS = 5.0
 BAD = "label=block"
 
 
@@ -83,6 +86,9 @@ def mine_rules(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_
             return labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support double")
         model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(items)
         rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
+        base = F.col("confidence") / F.col("lift")
+        rows = F.col("support") * n / F.col("confidence")
+        rules = rules.filter((F.col("confidence") - base) * F.sqrt(rows) >= MIN_DEVIATIONS * F.sqrt(base * (1 - base)))
         passing = materialize(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
     finally:
         items.unpersist()

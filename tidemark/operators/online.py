@@ -6,7 +6,9 @@ freshness follows the offline rule, newest event before T."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..definitions import FeatureView, feature_specs
@@ -31,7 +33,13 @@ def online_vectors(tiles: DataFrame, last: DataFrame, recent: DataFrame, view: F
     values = tiled_features(recent, view, requests, Strategy.RANGE, tiles)
     g = min(by_grid(view))
     rows = requests.select(ROW, *view.join_keys, "as_of_ms", tile_index(F.col("as_of_ms"), g).alias("_tile"))
-    whole = rows.join(last, list(view.join_keys)).filter("tile_index < _tile").groupBy(ROW).agg(F.max(LAST).alias("_a"))
+    # the last tile before each request's, in one pass over a key's tiles and requests
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = rows.select(*view.join_keys, F.col("_tile").alias("_at"), F.lit(0).alias("_kind"), ROW, none(LAST, last.schema[LAST].dataType))
+    told = last.select(*view.join_keys, F.col("tile_index").alias("_at"), F.lit(1).alias("_kind"), none(ROW, rows.schema[ROW].dataType), LAST)
+    told = told.join(rows.select(*view.join_keys).distinct(), list(view.join_keys), "left_semi")
+    so_far = Window.partitionBy(*view.join_keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    whole = asked.unionByName(told).withColumn("_a", F.max(LAST).over(so_far)).filter("_kind = 0").select(ROW, "_a")
     e = normal(recent, view.source).withColumn("_tile", tile_index(F.col("_event_ms"), g)).select(*view.join_keys, "_tile", "_event_ms")
     head = rows.join(e, [*view.join_keys, "_tile"]).filter("_event_ms < as_of_ms").groupBy(ROW).agg(F.max("_event_ms").alias("_b"))
     out = requests.join(values, ROW).join(whole, ROW, "left").join(head, ROW, "left").withColumn("last_known_ms", F.greatest("_a", "_b"))
@@ -45,8 +53,9 @@ class OnlineStore:
     def __init__(self, tiles: DataFrame, last: DataFrame, recent: DataFrame):
         self.tiles, self.last, self.recent = tiles, last, recent
 
-    def get_online_features(self, view: FeatureView, entities: list[dict], as_of_ms: int) -> list[dict]:
-        """One dict of features for each entity; an unknown key or a missing one is an error of the caller."""
+    def get_online_features(self, view: FeatureView, entities: list[dict], as_of_ms: int | None = None) -> list[dict]:
+        """One dict of features for each entity, as of now unless told; a missing key is an error of the caller."""
+        as_of_ms = int(time.time() * 1000) if as_of_ms is None else as_of_ms
         if not entities:
             return []
         for e in entities:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..definitions import FeatureView
 from .asof import ROW, Semantics, Strategy, training_features
+from .numbering import number_rows
 from .statistics import close, ks_statistic, population_stability_index
 
 REL, ABS = 1e-6, 1e-9
@@ -68,7 +69,7 @@ def compared(events: DataFrame, view: FeatureView, log: DataFrame, strategy: Str
     """One row for each served value: log_id, feature_name, served, tiled, known, bucket."""
     served = served_wide(log, view, from_ms, to_ms)
     on = [*view.join_keys, "as_of_ms"]
-    probes = entity_frame(served, view).withColumn(ROW, F.xxhash64(*on))
+    probes = number_rows(entity_frame(served, view), on, ROW)
     names = view.feature_names
     vectors = {}
     for tag, semantics in (("tiled", Semantics.EVENT_TIME), ("known", Semantics.KNOWN)):

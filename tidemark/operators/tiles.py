@@ -46,7 +46,7 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     """Parquet by grid and day, sorted by key within files; whole rebuild."""
     out = tiles.withColumn("tile_day", F.to_date("tile_start"))
     keys = tiles.columns[: tiles.columns.index("agg_name")]
-    out = out.repartition("granularity_ms", "tile_day").sortWithinPartitions("granularity_ms", "tile_day", *keys, "tile_index")
+    out = out.repartitionByRange("granularity_ms", "tile_day", *keys).sortWithinPartitions("granularity_ms", "tile_day", *keys, "tile_index")
     out.write.mode("overwrite").option("compression", "zstd").partitionBy("granularity_ms", "tile_day").parquet(path)
 
 

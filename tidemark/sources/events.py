@@ -29,10 +29,26 @@ def events_dataframe(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return df.withColumns({c: F.timestamp_millis(c) for c in ("event_ts", "created_ts")})
 
 
+def _by_day(df: DataFrame, source: EventSource) -> DataFrame:
+    """With event_day, in ranges of day and time: a busy day is spread over several tasks and files."""
+    day = F.to_date(F.timestamp_millis(to_millis(F.col(source.event_time), df.schema[source.event_time])))
+    return df.withColumn("event_day", day).repartitionByRange("event_day", source.event_time).sortWithinPartitions("event_day", source.event_time)
+
+
+def create_raw_table(spark: SparkSession, name: str, path: str) -> None:
+    """A catalog table of raw events in Parquet, partitioned by event day, unless it is there already."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RAW_DDL}, event_day DATE) USING parquet PARTITIONED BY (event_day) LOCATION '{path}'")
+
+
+def append_events(df: DataFrame, name: str, source: EventSource) -> None:
+    """Adds events to a table of create_raw_table; new days become partitions of the catalog."""
+    names = [c.split()[0] for c in RAW_DDL.split(", ")]
+    _by_day(df, source).select(*names, "event_day").write.insertInto(name)
+
+
 def write_events(df: DataFrame, path: str, source: EventSource, replace: bool = True) -> None:
     """Parquet partitioned by event day, sorted by event time within files; replaces or appends."""
-    day = F.to_date(F.timestamp_millis(to_millis(F.col(source.event_time), df.schema[source.event_time])))
-    out = df.withColumn("event_day", day).repartition("event_day").sortWithinPartitions("event_day", source.event_time)
+    out = _by_day(df, source)
     out.write.mode("overwrite" if replace else "append").option("compression", "zstd").partitionBy("event_day").parquet(path)
 
 
@@ -58,6 +74,37 @@ def within(events: DataFrame, probes: DataFrame, longest_ms: int, column: str =
     return events.filter(F.col(column).between(day(lo - 2 * longest_ms), day(hi)))
 
 
+def generate_events(spark: SparkSession, rows: int, users: int, videos: int, start_ms: int, days: int = 10, seed: int = 1, late: float = 0.05, tail_ms: int = 60_000, cap_ms: int = 21_600_000) -> DataFrame:
+    """Seeded raw events: kinds in the proportions .60, .30, .06, .03, .01, Zipf keys (exponents 0.8 for
+    users, 1.1 for videos), a share `late` known after a Pareto delay (1.5, from tail_ms, up to cap_ms), the
+    others within 250 ms. Every value is a hash of the row's number, so reruns agree on any cluster."""
+
+    def uniform(tag: str) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(tag)), 11).cast("double") + 0.5) / float(1 << 53)
+
+    def zipf(tag: str, n: int, s: float) -> Column:
+        # inverse of the integral of x ** -s over 1 .. n + 1
+        return F.least(F.lit(n), F.floor(F.pow((float(n + 1) ** (1 - s) - 1) * uniform(tag) + 1, F.lit(1 / (1 - s))))).cast("string")
+
+    u = uniform("kind")
+    kind = F.when(u < 0.6, "impression").when(u < 0.9, "watch").when(u < 0.96, "like").when(u < 0.99, "share").otherwise("follow")
+    event_ms = (F.lit(start_ms) + F.floor(uniform("time") * (days * 86_400_000))).cast("long")
+    tail = F.least(F.lit(float(cap_ms)), tail_ms * F.pow(uniform("tail"), F.lit(-1 / 1.5)))
+    delay = F.floor(F.when(uniform("late") < late, tail).otherwise(uniform("prompt") * 250)).cast("long")
+    df = spark.range(rows).withColumns({"event_type": kind, "event_ms": event_ms, "delay": delay})
+    return df.select(
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"),
+        "event_type",
+        zipf("user", users, 0.8).alias("user_id"),
+        zipf("video", videos, 1.1).alias("video_id"),
+        F.timestamp_millis("event_ms").alias("event_ts"),
+        F.timestamp_millis(F.col("event_ms") + F.col("delay")).alias("created_ts"),
+        F.when(F.col("event_type") == "watch", F.round(uniform("seconds") * 300, 3)).alias("watch_seconds"),
+        (F.col("event_type") == "like").cast("int").alias("liked"),
+        (F.col("event_type") == "share").cast("int").alias("shared"),
+    )
+
+
 # ---- the test data as events -------------------------------------------------------------------
 
 KINDS = {"view": "watch", "click": "like", "purchase": "share", "error": "impression", "signup": "follow"}

@@ -20,10 +20,14 @@ def session(app: str = "tidemark", master: str | None = None, shuffle_partitions
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared scratch folder: that of spark.checkpoint.dir, in tests a temporary one.
-    It is deleted when the driver ends."""
+    """A new path in the shared scratch folder, that of spark.checkpoint.dir; it is deleted when the driver
+    ends. A single-machine session without that setting, as in tests, gets a temporary folder; on a
+    cluster its absence is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/tidemark-{tag}-{uuid.uuid4().hex}"

@@ -91,3 +91,22 @@ def test_artifact_file(tmp_path):
     with pytest.raises(ValueError):
         evidence.write_artifact(a | {"config": {"x": math.nan}}, tmp_path / "a.json")
     assert [p.name for p in tmp_path.iterdir()] == ["a.json"]
+
+
+def test_auc_by_pairs(spark):
+    rows = [(1.0, 0), (2.0, 1), (2.0, 0), (3.0, 1), (0.5, 0), (3.0, 0), (None, 1)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    held = [r for r in rows if r[0] is not None]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    want = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    assert statistics.auc(df, "s", "y").first()["auc"] == pytest.approx(want)
+    assert statistics.auc(df.filter("y = 0"), "s", "y").first()["auc"] is None
+
+
+def test_running_sums_of_null_keys_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 2.0, 3), (None, 1.0, 1), ("a", 5.0, 2)], "k string, v double, n int")
+    got = {(r.k, r.v): (r.n_upto, r.n_all) for r in statistics.running(df, ["k"], "v", ["n"]).collect()}
+    assert got == {(None, 1.0): (1, 4), (None, 2.0): (4, 4), ("a", 5.0): (2, 2)}
+    none = df.limit(0)
+    assert statistics.ks_statistic(none, none, "v", ["k"]).count() == 0
+    assert statistics.latency_summary(none, "v").first()["median"] is None

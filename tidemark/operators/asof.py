@@ -183,10 +183,20 @@ def feature_grid(probes: DataFrame, view: FeatureView) -> DataFrame:
 
 
 def range_states(tiles: DataFrame, view: FeatureView, probes: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
-    """(row id, feature_0, feature_1, ...) from the long tile table. Rows without tiles stay, null."""
+    """(row id, feature_0, feature_1, ...) from the long tile table. Rows without tiles stay, null. Blocks of
+    tiles are as long as an aggregation's longest window, so that a window meets at most two of them and
+    a heavy key is spread over time."""
     names = [f.name for f in specs]
-    grid = feature_grid(probes, view).filter(F.col("feature_name").isin(names))
-    met = grid.join(tiles, [*view.join_keys, "agg_name", "granularity_ms"]).filter("tile_index >= lo AND tile_index < hi")
+    longest: dict[tuple[str, int], int] = {}
+    for f in specs:
+        on = (f.basename, f.grid_ms)
+        longest[on] = max(longest.get(on, 1), f.window_ms // f.grid_ms)
+    length = F.coalesce(*[F.when((F.col("agg_name") == n) & (F.col("granularity_ms") == g), F.lit(w)) for (n, g), w in longest.items()])
+    block = lambda t: F.floor(F.col(t) / F.col("_length")).cast("long")
+    grid = feature_grid(probes, view).filter(F.col("feature_name").isin(names)).withColumn("_length", length)
+    grid = grid.withColumn("_block", F.explode(F.sequence(block("lo"), F.floor((F.col("hi") - 1) / F.col("_length")).cast("long"))))
+    kept = tiles.withColumn("_length", length).filter("_length IS NOT NULL").withColumn("_block", block("tile_index")).drop("_length")
+    met = grid.join(kept, [*view.join_keys, "agg_name", "granularity_ms", "_block"]).filter("tile_index >= lo AND tile_index < hi")
     aggs = []
     for f in specs:
         mine = lambda c, f=f: F.when(F.col("feature_name") == f.name, F.col(c))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..definitions import FeatureView
 from .asof import ROW, Semantics, Strategy, training_features
 from .numbering import number_rows
-from .statistics import close, ks_statistic, population_stability_index
+from .statistics import close, ks_of, psi_of, sides
 
 REL, ABS = 1e-6, 1e-9
 MATCH, ONE_SIDE, HEAD, LATE = "match", "one_side_null", "partial_head_tile", "late_arriving_data"
@@ -92,8 +92,8 @@ def skew_report(pairs: DataFrame) -> DataFrame:
         (F.count_if(F.col("served").isNull()) / n - F.count_if(F.col("tiled").isNull()) / n).alias("null_rate_delta"),
     )
     served, tiled = (pairs.select("feature_name", F.col(c).alias("x")) for c in ("served", "tiled"))
-    psi = population_stability_index(tiled, served, "x", ["feature_name"])
-    ks = ks_statistic(tiled, served, "x", ["feature_name"])
+    both = sides(tiled, served, "x", ["feature_name"])
+    psi, ks = psi_of(both, ["feature_name"]), ks_of(both, ["feature_name"])
     return report.join(psi, "feature_name", "left").join(ks, "feature_name", "left")
 
 

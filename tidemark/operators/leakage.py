@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..definitions import FeatureView
 from ..sources.events import normal
 from .asof import ROW
+from .statistics import auc
 
 REL = 1e-9
 SPLIT = 0.7
@@ -49,28 +50,27 @@ def vector_differences(strict: DataFrame, leaky: DataFrame, view: FeatureView) -
 
 
 def disagreement_rates(differences: DataFrame, view: FeatureView) -> DataFrame:
-    """One row: rows, and the share of rows in which each feature, and any, differs."""
+    """One row: rows, and the share of rows in which each feature, and any, differs; null without rows."""
     n = F.count(F.lit(1))
     flags = [*view.feature_names, "any_differs"]
-    return differences.agg(n.alias("rows"), *[(F.count_if(F.col(c)) / n).alias(c) for c in flags])
+    return differences.agg(n.alias("rows"), *[(F.count_if(F.col(c)) / F.nullif(n, F.lit(0))).alias(c) for c in flags])
 
 
 def temporal_split(rows: DataFrame, share: float = SPLIT) -> DataFrame:
-    """Adds split_ms and is_train: as_of_ms up to the share's quantile. One number comes to the driver."""
+    """Adds split_ms, the share's quantile, and is_train: as_of_ms before it. One number comes to the driver."""
     at = rows.agg(F.percentile_approx("as_of_ms", share, 1_000_000)).first()[0]
-    return rows.withColumn("split_ms", F.lit(at).cast("long")).withColumn("is_train", F.col("as_of_ms") <= F.lit(at).cast("long"))
+    return rows.withColumn("split_ms", F.lit(at).cast("long")).withColumn("is_train", F.col("as_of_ms") < F.lit(at).cast("long"))
 
 
 def auc_table(strict: DataFrame, leaky: DataFrame, view: FeatureView) -> DataFrame:
-    """strict, leaky: rows with features, label and is_train. AUC of logistic regression for three
-    pairs of (trained on, scored on)."""
+    """strict, leaky: rows with features, label and is_train. Exact AUC of logistic regression for three
+    pairs of (trained on, scored on); null where a model or a score lacks one of the labels."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     assemble = VectorAssembler(inputCols=list(view.feature_names), outputCol="vector")
     ready = {tag: assemble.transform(df.fillna(0.0, list(view.feature_names))).select("vector", "label", "is_train").cache() for tag, df in (("strict", strict), ("leaky", leaky))}
-    evaluate = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
     out = []
     try:
         for trained, scored in (("leaky", "leaky"), ("leaky", "strict"), ("strict", "strict")):
@@ -79,7 +79,8 @@ def auc_table(strict: DataFrame, leaky: DataFrame, view: FeatureView) -> DataFra
                 out.append((trained, scored, None))
                 continue
             model = LogisticRegression(featuresCol="vector", labelCol="label", maxIter=50, regParam=0.01).fit(train)
-            out.append((trained, scored, float(evaluate.evaluate(model.transform(ready[scored].filter("NOT is_train"))))))
+            tested = model.transform(ready[scored].filter("NOT is_train")).select("label", vector_to_array("probability")[1].alias("_score"))
+            out.append((trained, scored, auc(tested, "_score", "label").first()["auc"]))
     finally:
         for df in ready.values():
             df.unpersist()

@@ -159,6 +159,14 @@ def q_temporal_split(spark, sf_dir):
     return leakage.temporal_split(ev.probes(spark, sf_dir).select(ROW, "as_of_ms"))
 
 
+def q_auc(spark, sf_dir):
+    """How well each strict feature alone ranks the labels; ranks tie where values are equal."""
+    view = v.USER_ENGAGEMENT
+    rows = materialize(tidy(bare(vectors(spark, sf_dir, view, KNOWN, Strategy.JOIN, True), view), view).join(_labelled(spark, sf_dir).select(ROW, "label"), ROW), "scored")
+    parts = [statistics.auc(rows, n, "label").select(F.lit(n).alias("feature_name"), F.round("auc", 9).alias("auc")) for n in ("count_1h", "count_1d", "watch_seconds_sum_7d")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def q_leak_auc(spark, sf_dir):
     labels = leakage.temporal_split(_labelled(spark, sf_dir)).select(ROW, "label", "is_train")
     sets = {s: materialize(bare(vectors(spark, sf_dir, v.USER_ENGAGEMENT, s, Strategy.FRAME, True), v.USER_ENGAGEMENT).join(labels, ROW), "auc") for s in (KNOWN, EVENT)}
@@ -338,7 +346,7 @@ _QUERIES = {
     "q_leak_row_diff": _differences,
     "q_leak_rates": _rates,
 }
-for _f in (q_raw_events, q_arrival_order, q_row_ids, q_window_bounds, q_retention, q_feature_grid, q_tiles_user, q_tiles_item, q_head_state, q_rollup, q_orders_minmax, q_orders_known, q_label_sample, q_leak_training_set, q_temporal_split, q_leak_auc, q_lateness_quantiles, q_lateness_sweep, q_serving_log_explode, q_served_pivot, q_entity_frame, q_skew_buckets, q_skew_report, q_psi, q_ks, q_latency_stats, q_stream_landing, q_stream_tiles, q_stream_feature_log, q_stream_redelivery, q_online_vector):
+for _f in (q_raw_events, q_arrival_order, q_row_ids, q_window_bounds, q_retention, q_feature_grid, q_tiles_user, q_tiles_item, q_head_state, q_rollup, q_orders_minmax, q_orders_known, q_label_sample, q_leak_training_set, q_temporal_split, q_auc, q_leak_auc, q_lateness_quantiles, q_lateness_sweep, q_serving_log_explode, q_served_pivot, q_entity_frame, q_skew_buckets, q_skew_report, q_psi, q_ks, q_latency_stats, q_stream_landing, q_stream_tiles, q_stream_feature_log, q_stream_redelivery, q_online_vector):
     _QUERIES[_f.__name__] = _f
 
 
@@ -383,6 +391,15 @@ def _rates_sql(extra: str = "") -> str:
 _LABEL = f"SELECT p.entity_row_id, p.user_id, p.as_of_ms, CAST(count(e.event_id) > 0 AS INTEGER) AS label FROM {{p}} p LEFT JOIN engagement e ON e.user_id = p.user_id AND e.kind = 'watch' AND e.event_ms > p.as_of_ms AND e.event_ms <= p.as_of_ms + {6 * o.H} GROUP BY p.entity_row_id, p.user_id, p.as_of_ms"
 
 
+def _auc_sql(names: tuple[str, ...]) -> str:
+    """Ranks with ties halved, from the sum of the positives' ranks."""
+    one = lambda n: f"SELECT '{n}' AS feature_name, round((sum(CASE WHEN label = 1 THEN k END) - np * (np + 1) / 2.0) / nullif(np * nn, 0), 9) AS auc FROM (SELECT label, rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS k, CAST(sum(label) OVER () AS DOUBLE) AS np, CAST(sum(1 - label) OVER () AS DOUBLE) AS nn FROM scored WHERE {n} IS NOT NULL) GROUP BY np, nn"
+    scored = "scored AS (SELECT g.*, l.label FROM ({gated}) g JOIN lab l USING (entity_row_id))"
+    vec, fresh = _training(o.USER, 7 * o.D, True)
+    gated = o.gated("vec", "fr", o.USER, _U)
+    return o.with_(f"vec AS ({vec})", f"fr AS ({fresh})", f"lab AS ({_LABEL.format(p='probes')})", scored.format(gated=gated), body=" UNION ALL ".join(one(n) for n in names))
+
+
 def _served_ctes() -> list[str]:
     vec, fresh = _training(o.USER, 7 * o.D, False)
     cut = o.features(o.USER, _U, without_head=("count_1d",))
@@ -453,7 +470,8 @@ def oracle_sql():
         "q_leak_row_diff": o.with_(*_diff_ctes(), body="SELECT * FROM diff"),
         "q_leak_rates": o.with_(*_diff_ctes(), body=_rates_sql()),
         "q_leak_training_set": _gated(o.USER, 7 * o.D, True, "SELECT g.*, l.label FROM ({gated}) g JOIN lab l USING (entity_row_id)", f"lab AS ({_LABEL.format(p='probes')})"),
-        "q_temporal_split": o.with_("r AS (SELECT *, row_number() OVER (ORDER BY as_of_ms, entity_row_id) AS k, count(*) OVER () AS n FROM probes)", "s AS (SELECT min(as_of_ms) AS split_ms FROM r WHERE k >= n * 0.7)", body="SELECT entity_row_id, as_of_ms, split_ms, as_of_ms <= split_ms AS is_train FROM probes, s"),
+        "q_auc": _auc_sql(("count_1h", "count_1d", "watch_seconds_sum_7d")),
+        "q_temporal_split": o.with_("r AS (SELECT *, row_number() OVER (ORDER BY as_of_ms, entity_row_id) AS k, count(*) OVER () AS n FROM probes)", "s AS (SELECT min(as_of_ms) AS split_ms FROM r WHERE k >= n * 0.7)", body="SELECT entity_row_id, as_of_ms, split_ms, as_of_ms < split_ms AS is_train FROM probes, s"),
         "q_lateness_quantiles": o.with_("r AS (SELECT kind, created_ms - event_ms AS x, row_number() OVER (PARTITION BY kind ORDER BY created_ms - event_ms) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM engagement)", body="SELECT kind, max(CASE WHEN k = n // 2 THEN x END) AS p50, max(CASE WHEN k = least(n - 1, CAST(floor(CAST(n AS DOUBLE) * 0.99) AS BIGINT)) THEN x END) AS p99, max(x) AS max FROM r GROUP BY kind"),
         "q_lateness_sweep": " UNION ALL ".join(f"SELECT * FROM ({o.with_(*_diff_ctes(), body=_rates_sql(f', {late} AS scale'), late=late) if late else _never_late()})" for late in (0, 1, 4)),
         "q_serving_log_explode": o.with_(*_served_ctes(), body=_log_sql()),

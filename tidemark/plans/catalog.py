@@ -6,6 +6,8 @@ places. Times are given as epoch milliseconds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,16 +286,41 @@ def q_stream_landing(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
-def _streamed(spark, topic: str, view: FeatureView, grid_ms: int) -> DataFrame:
+def _streamed(spark, topic: str, *views: FeatureView) -> str:
     out = scratch(spark, "tiles")
-    streaming.keep_tiles(spark, streaming.source(spark, topic), WIRE, view, grid_ms, out, scratch(spark, "checkpoint"))
-    return streaming.current_tiles(spark, out, view)
+    streaming.keep_tiles(spark, streaming.source(spark, topic), WIRE, views, out, scratch(spark, "checkpoint"))
+    return out
+
+
+def _long_streamed(spark, path: str, view: FeatureView) -> DataFrame:
+    parts = [streaming.long_tiles(streaming.current_tiles(spark, path, view, g), view, g) for g in tiles.by_grid(view)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_stream_tiles(spark, sf_dir):
-    topic, view = _topic(spark, ev.engagement(spark, sf_dir)), v.USER_ENGAGEMENT
-    parts = [streaming.long_tiles(_streamed(spark, topic, view, g), view, g) for g in tiles.by_grid(view)]
-    return _tiles_out(parts[0].unionByName(parts[1]))
+    path = _streamed(spark, _topic(spark, ev.engagement(spark, sf_dir)), v.USER_ENGAGEMENT)
+    return _tiles_out(_long_streamed(spark, path, v.USER_ENGAGEMENT))
+
+
+def q_stream_fanout(spark, sf_dir):
+    """One consumer, two views with different keys."""
+    path = _streamed(spark, _topic(spark, ev.engagement(spark, sf_dir)), v.USER_ENGAGEMENT, v.ITEM_ENGAGEMENT)
+    out = []
+    for view in (v.USER_ENGAGEMENT, v.ITEM_ENGAGEMENT):
+        (key,) = view.join_keys
+        rows = _tiles_out(_long_streamed(spark, path, view))
+        out.append(rows.withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, "entity").withColumn("view_name", F.lit(view.name)))
+    return out[0].unionByName(out[1])
+
+
+def q_stream_expiry(spark, sf_dir):
+    """Tiles after a compaction that expires as of the newest event. The newest batch has the newest
+    events and is not compacted, so it is expired on reading."""
+    e, view = ev.engagement(spark, sf_dir), v.USER_ENGAGEMENT
+    path = _streamed(spark, _topic(spark, e), view)
+    now = e.agg(F.max("event_ms")).first()[0]
+    streaming.compact(spark, path, [view], now)
+    return _tiles_out(tiles.expire_tiles(_long_streamed(spark, path, view), view, now))
 
 
 def q_stream_feature_log(spark, sf_dir):
@@ -307,23 +334,21 @@ def q_stream_redelivery(spark, sf_dir):
     """Every message twice: tile counts double, and landing with a long enough delay keeps one each."""
     e, view = ev.engagement(spark, sf_dir), v.USER_ENGAGEMENT
     topic = _topic(spark, e.unionByName(e))
-    twice = _streamed(spark, topic, view, HOUR_MS).agg(F.sum("count_0").cast("long").alias("counted"))
+    path = _streamed(spark, topic, view)
+    counted = [streaming.current_tiles(spark, path, view, g).agg(F.sum("count_0").cast("long").alias("counted")).select(F.lit(f"tiles_{g}").alias("sink"), "counted") for g in tiles.by_grid(view)]
     out = scratch(spark, "landed")
     streaming.land_events(spark, streaming.source(spark, topic), WIRE, out, scratch(spark, "checkpoint"), dedup=("event_id", "60 days"))
     once = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("counted"))
-    return twice.select(F.lit("tiles").alias("sink"), "counted").unionByName(once.select(F.lit("landed").alias("sink"), "counted"))
+    return reduce(DataFrame.unionByName, [*counted, once.select(F.lit("landed").alias("sink"), "counted")])
 
 
 def q_online_vector(spark, sf_dir):
     """Vectors read from streamed tile states and raw heads, staleness applied."""
     e, p, view = ev.engagement(spark, sf_dir), ev.probes(spark, sf_dir).select(ROW, "user_id", "as_of_ms"), v.USER_DAY
     topic = _topic(spark, e)
-    kept = {g: _streamed(spark, topic, view, g) for g in tiles.by_grid(view)}
-    long = None
-    for g, wide in kept.items():
-        t = streaming.long_tiles(wide, view, g)
-        long = t if long is None else long.unionByName(t)
-    last = kept[min(kept)].select("user_id", F.col("_tile").alias("tile_index"), "last_event_ms")
+    path = _streamed(spark, topic, view)
+    long = materialize(_long_streamed(spark, path, view), "tiles")
+    last = streaming.current_tiles(spark, path, view, min(tiles.by_grid(view))).select("user_id", F.col("_tile").alias("tile_index"), "last_event_ms")
     return tidy(bare(online.online_vectors(long, last, e, view, p), view), view)
 
 
@@ -346,7 +371,7 @@ _QUERIES = {
     "q_leak_row_diff": _differences,
     "q_leak_rates": _rates,
 }
-for _f in (q_raw_events, q_arrival_order, q_row_ids, q_window_bounds, q_retention, q_feature_grid, q_tiles_user, q_tiles_item, q_head_state, q_rollup, q_orders_minmax, q_orders_known, q_label_sample, q_leak_training_set, q_temporal_split, q_auc, q_leak_auc, q_lateness_quantiles, q_lateness_sweep, q_serving_log_explode, q_served_pivot, q_entity_frame, q_skew_buckets, q_skew_report, q_psi, q_ks, q_latency_stats, q_stream_landing, q_stream_tiles, q_stream_feature_log, q_stream_redelivery, q_online_vector):
+for _f in (q_raw_events, q_arrival_order, q_row_ids, q_window_bounds, q_retention, q_feature_grid, q_tiles_user, q_tiles_item, q_head_state, q_rollup, q_orders_minmax, q_orders_known, q_label_sample, q_leak_training_set, q_temporal_split, q_auc, q_leak_auc, q_lateness_quantiles, q_lateness_sweep, q_serving_log_explode, q_served_pivot, q_entity_frame, q_skew_buckets, q_skew_report, q_psi, q_ks, q_latency_stats, q_stream_landing, q_stream_tiles, q_stream_fanout, q_stream_expiry, q_stream_feature_log, q_stream_redelivery, q_online_vector):
     _QUERIES[_f.__name__] = _f
 
 
@@ -483,9 +508,13 @@ def oracle_sql():
         "q_psi": o.with_(_SIDES, "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM s)", "q AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i)", "edges AS (SELECT DISTINCT r.g, r.v FROM r, q WHERE r.k = CAST(floor((q.i / 10.0::DOUBLE) * (r.n - 1)) AS BIGINT))", "binned AS (SELECT s.g, s.a, (SELECT count(*) FROM edges e WHERE e.g = s.g AND e.v < s.v) AS bin FROM s)", "c AS (SELECT g, bin, count(CASE WHEN a THEN 1 END) AS na, count(CASE WHEN NOT a THEN 1 END) AS nb FROM binned GROUP BY g, bin)", "t AS (SELECT g, sum(na) AS ta, sum(nb) AS tb FROM c GROUP BY g)", "h AS (SELECT c.g, ta, tb, greatest(na / CAST(ta AS DOUBLE), 1e-6) AS x, greatest(nb / CAST(tb AS DOUBLE), 1e-6) AS y FROM c JOIN t USING (g))", body="SELECT g, CASE WHEN max(ta + tb) >= 20 THEN round(sum((y - x) * ln(y / x)), 6) END AS psi FROM h GROUP BY g"),
         "q_ks": o.with_(_SIDES, "c AS (SELECT g, v, count(CASE WHEN a THEN 1 END) AS na, count(CASE WHEN NOT a THEN 1 END) AS nb FROM s GROUP BY g, v)", "f AS (SELECT g, sum(na) OVER w / CAST(sum(na) OVER (PARTITION BY g) AS DOUBLE) AS fa, sum(nb) OVER w / CAST(sum(nb) OVER (PARTITION BY g) AS DOUBLE) AS fb FROM c WINDOW w AS (PARTITION BY g ORDER BY v))", body="SELECT g, round(max(abs(fa - fb)), 9) AS ks FROM f GROUP BY g"),
         "q_latency_stats": o.with_("l AS (SELECT CAST(created_ms - event_ms AS DOUBLE) AS ms FROM engagement)", "m AS (SELECT quantile_cont(ms, 0.5) AS med FROM l)", "d AS (SELECT quantile_cont(abs(ms - med), 0.5) AS mad FROM l, m)", body='SELECT count(*) AS "count", round(min(ms), 6) AS "min", round(max(ms), 6) AS "max", round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.99), 6) AS p99, (SELECT round(mad, 6) FROM d) AS mad FROM l'),
-        "q_stream_redelivery": "SELECT 'tiles' AS sink, 2 * count(*) AS counted FROM events UNION ALL SELECT 'landed', count(*) FROM events",
+        "q_stream_redelivery": f"SELECT 'tiles_{o.M5}' AS sink, 2 * count(*) AS counted FROM events UNION ALL SELECT 'tiles_{o.H}', 2 * count(*) FROM events UNION ALL SELECT 'landed', count(*) FROM events",
         "q_online_vector": _gated(o.DAY_USER, o.D, False),
     }
+    first = " OR ".join(f"(agg_name = '{b}' AND granularity_ms = {g} AND tile_index >= (now - {w}) // {g})" for (b, g), w in longest.items())
+    out["q_stream_expiry"] = f"SELECT t.* FROM ({out['q_tiles_user']}) t, (SELECT max(epoch_us(ts) // 1000) AS now FROM events) WHERE {first}"
+    one = lambda view, key: f"SELECT '{view}' AS view_name, CAST({key} AS VARCHAR) AS entity, * EXCLUDE ({key}) FROM ({out[f'q_tiles_{key[:4]}']})"
+    out["q_stream_fanout"] = f"{one('user_engagement', 'user_id')} UNION ALL BY NAME {one('item_engagement', 'item_id')}"
     return out | {"q_stream_landing": out["q_raw_events"], "q_stream_tiles": out["q_tiles_user"]}
 
 

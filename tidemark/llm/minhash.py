@@ -1,10 +1,7 @@
-"""Near copies by their five-word shingles: candidates by MinHash bands, links by exact Jaccard.
+"""Near copies by their five-word shingles: candidates by SimHash, see widehash, links by exact Jaccard.
 
-Components of the candidates are clusters, so that a text's shingles are needed in one place only.
-
-A sketch holds HASHES minima of a text's distinct shingles. BANDS bands of ROWS minima are index keys:
-a pair of Jaccard similarity J has a key in common with probability 1 - (1 - J^ROWS)^BANDS, 0.9998 at
-0.8. One bit of each minimum, by which a pair differs in (1 - J) / 2 on average, rejects far pairs.
+Components of the candidates are clusters, so that a text's shingles are needed in one place only. (The
+module's name is that of the method which gave the candidates before.)
 """
 
 from __future__ import annotations
@@ -14,25 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import widehash
 from .common import connected_components, distinct, forget, materialize
 from .simhash import shingle_hashes
 
-ROWS, BANDS, HASHES = 7, 36, 256
 #: Least similarity of a link.
 LEAST = 0.8
-#: Bits by which the sketches of a candidate may differ: 25.6 +- 4.8 are expected at 0.8.
-FAR_BITS = 46
-#: Members of one band key that are compared; all of a larger group are candidates.
-BUCKET = 2048
 #: Members and shingles of a cluster that are compared in memory at once; larger clusters are
 #: compared block by block by many tasks.
 MEMBERS, SHINGLES = 512, 1 << 20
 
-_rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 1 << 64, HASHES, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-_BITS = ["b0", "b1", "b2", "b3"]
+_PRINT = widehash.NAMES
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -40,23 +29,9 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return distinct(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
 
-def sketch(shingles: np.ndarray) -> tuple[list[int], list[int]]:
-    """The bits, as four longs, and the band keys of a set that is not empty."""
-    import xxhash
-
-    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(shingles), 1024):
-        least = np.minimum(least, ((shingles[k : k + 1024, None] ^ _XOR) * _ODD).min(axis=0))
-    mixed = ((least ^ (least >> np.uint64(29))) * _MIX) >> np.uint64(63)
-    bits = np.packbits(mixed.astype(np.uint8)).view(np.int64)
-    raw, step = least.tobytes(), 8 * ROWS
-    keys = [xxhash.xxh3_64_intdigest(raw[b * step : (b + 1) * step], b) for b in range(BANDS)]
-    return bits.tolist(), np.array(keys, dtype=np.uint64).view(np.int64).tolist()
-
-
 def sketches(rows: DataFrame, size: int) -> DataFrame:
     """rows: (_id, _key long, text), texts with words. Adds node, the hash of the shingle set, and the
-    set's sketch, b0 to b3 and bands, in place of text."""
+    set's fingerprint in place of text."""
     import xxhash
 
     kind = rows.select("_id").schema[0].dataType.simpleString()
@@ -65,16 +40,14 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                out = []
-                for t in part.column(2).to_pylist():
-                    s = shingle_set(t, size)
-                    bits, keys = sketch(s)
-                    out.append((int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)), *bits, keys))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.list_(pa.int64())])] if out else []
-                if cols:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["_id", "_key", "node", *_BITS, "bands"])
+                sets = [shingle_set(t, size) for t in part.column(2).to_pylist()]
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+                prints = np.array([widehash.fingerprint(s) for s in sets])
+                cols = [pa.array(c, pa.int64()) for c in (node, *prints.T)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["_id", "_key", "node", *_PRINT])
 
-    return rows.select("_id", "_key", "text").mapInArrow(make, f"_id {kind}, _key long, node long, b0 long, b1 long, b2 long, b3 long, bands array<long>")
+    longs = ", ".join(f"{c} long" for c in ("_key", "node", *_PRINT))
+    return rows.select("_id", "_key", "text").mapInArrow(make, f"_id {kind}, {longs}")
 
 
 def _groups(batches, keys: int):
@@ -103,59 +76,21 @@ def _groups(batches, keys: int):
     yield None
 
 
-def _forest(bits: np.ndarray, label: np.ndarray, near=None, split: int | None = None) -> list[tuple[int, int]]:
-    """Index pairs that join the labels of all pairs of similar bits for which `near(i, j)` holds; with
-    `split`, of the pairs across that index. Pairs of one label are not looked at."""
-    out, label = [], label.copy()
-    for i in range(len(bits) - 1 if split is None else split):
-        lo = i + 1 if split is None else split
-        js = np.flatnonzero(label[lo:] != label[i]) + lo
-        js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= FAR_BITS]
-        for j in js.tolist():
-            if label[j] != label[i] and (near is None or near(i, j)):
-                label[label == label[j]] = label[i]
-                out.append((i, j))
-    return out
-
-
 def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _bucket_links(batches):
-    found: list[tuple[int, int]] = []
-    for rows in _groups(batches, 2):
-        if rows is None:
-            yield _batch(found)
-            found = []
-            continue
-        node, bits = rows[2], np.stack(rows[3:7], axis=1).view(np.uint64)
-        if len(node) > BUCKET:
-            found += [(int(node[0]), int(x)) for x in node[1:]]
-        else:
-            found += [(int(node[i]), int(node[j])) for i, j in _forest(bits, np.arange(len(node)))]
-
-
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """nodes: (node, b0 to b3, bands), distinct. Links (a, b) whose components hold together all pairs
-    that share a band key and have near bits."""
-    index = nodes.select(F.posexplode("bands").alias("band", "key"), "node", *_BITS)
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartition(n, "band", "key").sortWithinPartitions("band", "key")
-    return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
-
-
 def with_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """texts: (node, cluster, b0 to b3, text). The number of shingles, n, and their set in place of text."""
-    names = ["node", "cluster", *_BITS]
+    """texts: (node, cluster, fingerprint, text). The number of shingles, n, and their set in place of text."""
+    names = ["node", "cluster", *_PRINT]
 
     def make(batches):
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                sets = [shingle_set(t, size) for t in part.column(6).to_pylist()]
+                sets = [shingle_set(t, size) for t in part.column(2 + len(_PRINT)).to_pylist()]
                 cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], *cols], names=[*names, "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: 2 + len(_PRINT)], *cols], names=[*names, "n", "shingles"])
 
     fields = ", ".join(f"{c} long" for c in names)
     return texts.select(*names, "text").mapInArrow(make, f"{fields}, n long, shingles binary")
@@ -186,17 +121,17 @@ def _set_links(keys: int):
                 found = []
                 continue
             side, node, label = rows[keys : keys + 3]
-            bits = np.stack(rows[keys + 3 : keys + 7], axis=1).view(np.uint64)
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in rows[keys + 7]]
+            *prints, shingles = rows[keys + 3 :]
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in shingles]
             split = None if side[0] == 2 else int((side == 0).sum())
-            found += [(int(node[i]), int(node[j])) for i, j in _forest(bits, label, _similar(sets), split)]
+            found += [(int(node[i]), int(node[j])) for i, j in widehash.forest(np.stack(prints, axis=1).view(np.uint64), label, _similar(sets), split)]
 
     return run
 
 
 def _compare(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*keys, "side", "node", "label", *_BITS, "shingles").repartition(n, *keys).sortWithinPartitions(*keys, "side")
+    dealt = rows.select(*keys, "side", "node", "label", *_PRINT, "shingles").repartition(n, *keys).sortWithinPartitions(*keys, "side")
     return dealt.mapInArrow(_set_links(len(keys)), "a long, b long")
 
 
@@ -205,8 +140,8 @@ def _blocks(rows, shingles):
 
 
 def exact_links(members: DataFrame) -> DataFrame:
-    """members: (node, cluster, b0 to b3, n, shingles), materialized. Links that connect exactly those
-    nodes of a cluster which a chain of pairs of similar bits and of Jaccard LEAST or more connects.
+    """members: (node, cluster, fingerprint, n, shingles), materialized. Links that connect exactly those
+    nodes of a cluster which a chain of pairs of near fingerprints and of Jaccard LEAST or more connects.
 
     A large cluster is compared within random blocks first, then the least nodes of what is linked so far
     among themselves, again in blocks. Pairs that are still apart, which one of them has not in the
@@ -251,12 +186,12 @@ def exact_links(members: DataFrame) -> DataFrame:
 
 
 def near_components(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """nodes: (node, b0 to b3, bands, rep), materialized, where rep is the _key of a row of texts
+    """nodes: (node, fingerprint, rep), materialized, where rep is the _key of a row of texts
     (_key, text) with that shingle set. (node, component) as of connected_components."""
-    near = connected_components(candidate_links(nodes))
+    near = connected_components(widehash.candidate_links(nodes))
     members = near.select("node", F.col("component").alias("cluster"))
     members = members.unionByName(near.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
-    members = materialize(members.join(nodes.select("node", "rep", *_BITS), "node"), "members")
+    members = materialize(members.join(nodes.select("node", "rep", *_PRINT), "node"), "members")
     sets = materialize(with_shingles(texts.join(members, texts["_key"] == members["rep"]).dropDuplicates(["node"]), size), "sets")
     forget(near, members)
     out = connected_components(exact_links(sets))
